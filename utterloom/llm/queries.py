@@ -1,10 +1,12 @@
 """The queries of the corpus operators and the SQL of those that SQL can express."""
 
-from utterloom.llm import mixing, sharding, url_filter
+from utterloom.llm import mixing, packing, sharding, syncmers, url_filter
 
 QUERIES = {
+    "op1_syncmers": syncmers.op1_syncmers,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {"op6_url_filter": url_filter.ORACLE}
