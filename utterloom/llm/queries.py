@@ -1,9 +1,10 @@
 """The queries of the corpus operators and the SQL of those that SQL can express."""
 
-from utterloom.llm import mixing, packing, sharding, syncmers, url_filter
+from utterloom.llm import mixing, packing, perplexity, sharding, syncmers, url_filter
 
 QUERIES = {
     "op1_syncmers": syncmers.op1_syncmers,
+    "op2_perplexity": perplexity.op2_perplexity,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
