@@ -1,13 +1,14 @@
 """The queries of the corpus operators and the SQL of those that SQL can express."""
 
-from utterloom.llm import mixing, packing, perplexity, sharding, syncmers, url_filter
+from utterloom.llm import minhash, mixing, packing, perplexity, sharding, syncmers, url_filter
 
 QUERIES = {
     "op1_syncmers": syncmers.op1_syncmers,
     "op2_perplexity": perplexity.op2_perplexity,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_minhash": minhash.op7_minhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
 }
-ORACLES = {"op6_url_filter": url_filter.ORACLE}
+ORACLES = {"op6_url_filter": url_filter.ORACLE, "op7_minhash": minhash.ORACLE}
