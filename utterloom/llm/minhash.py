@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterloom.llm.base import arrow_schema, batch, cut, partitions, table, text_batches
+from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.syncmers import grams, mix
 
@@ -76,17 +77,17 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """digest, hashes of the wanted (id, digest). Texts are read again; only those of wanted ids are hashed."""
+    """digest, hashes of the wanted (id, digest). Texts are read again and hashed where a filter of ids lets them pass; no text is shuffled."""
+    ids = bits_of(wanted, F.col("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("digest binary,hashes array<long>")
         for b in batches:
-            own = [shingles(t, words) for t in b.column("text").to_pylist()]
-            own = [x for x in own if len(x)]
-            yield batch([(xxhash.xxh3_128_digest(x.tobytes()), x.view(np.int64)) for x in own], schema)
+            own = b.filter(pa.array(passes(ids.value, b.column("id").to_numpy(zero_copy_only=False))))
+            sets = [x for x in (shingles(t, words) for t in own.column("text").to_pylist()) if len(x)]
+            yield batch([(xxhash.xxh3_128_digest(x.tobytes()), x.view(np.int64)) for x in sets], schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
-    made = texts.select("text").mapInArrow(run, "digest binary, hashes array<long>")
+    made = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(run, "digest binary, hashes array<long>")
     return made.join(wanted.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes"))
 
 

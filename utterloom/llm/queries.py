@@ -1,11 +1,12 @@
 """The queries of the corpus operators and the SQL of those that SQL can express."""
 
-from utterloom.llm import minhash, mixing, packing, perplexity, sharding, syncmers, url_filter
+from utterloom.llm import lines, minhash, mixing, packing, perplexity, sharding, syncmers, url_filter
 
 QUERIES = {
     "op1_syncmers": syncmers.op1_syncmers,
     "op2_perplexity": perplexity.op2_perplexity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_lines": lines.op5_lines,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_minhash": minhash.op7_minhash,
     "op8_sharding": sharding.op8_sharding,
