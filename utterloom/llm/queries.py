@@ -1,6 +1,6 @@
 """The queries of the corpus operators and the SQL of those that SQL can express."""
 
-from utterloom.llm import lines, minhash, mixing, packing, perplexity, sharding, syncmers, url_filter, warc
+from utterloom.llm import lines, minhash, mixing, packing, perplexity, pii, sharding, syncmers, url_filter, warc
 
 QUERIES = {
     "op1_syncmers": syncmers.op1_syncmers,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_minhash": minhash.op7_minhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op3_warc": warc.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_minhash": minhash.ORACLE}
