@@ -121,7 +121,10 @@ def log2_q8(x: np.ndarray) -> np.ndarray:
 
 def log_mel(x: np.ndarray) -> np.ndarray:
     """Log band energies of each frame in Q8, the shifts of all stages undone."""
-    rows, shift = normalised(framed(preemphasis(x)))
+    frames = framed(preemphasis(x))
+    if not len(frames):
+        return np.empty((0, BANDS), np.int64)
+    rows, shift = normalised(frames)
     return log2_q8(mel(magnitude(*fft(rows)))) + (2 - shift << 8)[:, None]
 
 
@@ -145,10 +148,10 @@ def deltas(rows: np.ndarray) -> np.ndarray:
 
 def features(x: np.ndarray) -> np.ndarray:
     """24 columns in Q4: mean-free cepstra and their deltas."""
-    rows = framed(preemphasis(x))
-    if not len(rows):
+    logs = log_mel(x)
+    if not len(logs):
         return np.empty((0, 2 * CEPSTRA), np.int64)
-    c = without_mean(cepstra(log_mel(x)))
+    c = without_mean(cepstra(logs))
     return np.concatenate([c, deltas(c)], 1) + 8 >> 4
 
 
@@ -196,7 +199,8 @@ def with_features(utterances: DataFrame) -> DataFrame:
         for b in batches:
             for key, x in zip(b["utt_id"], b["samples"]):
                 rows = features(np.asarray(x if x is not None else [], np.int64))
-                yield pd.DataFrame({"utt_id": [key] * len(rows), "frame_no": np.arange(len(rows), dtype=np.int32), "vec": list(rows.astype(np.int32))})
+                if len(rows):
+                    yield pd.DataFrame({"utt_id": [key] * len(rows), "frame_no": np.arange(len(rows), dtype=np.int32), "vec": list(rows.astype(np.int32))})
 
     return utterances.select("utt_id", "samples").mapInPandas(run, f"utt_id {kind}, frame_no int, vec array<int>")
 
