@@ -268,7 +268,7 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     if not size:
         return {}
     least = tables.sparkSession.createDataFrame([(s, -(-n >> SHARE_BITS)) for s, n in size.items()], "lang string, least long")
-    often = tables.groupBy("lang", "m", F.least("n", F.lit(4)).alias("c")).agg(F.count("*").alias("k")).collect()
+    often = tables.groupBy("lang", "m", F.least("n", F.lit(5)).alias("c")).agg(F.count("*").alias("k")).collect()
     kept = tables.join(least, "lang").where("raw >= least").select("lang", "m", "a", "b", "n").toPandas()
     one = tables.select("lang", "m", F.shiftright("a", BITS).alias("a"), (F.shiftleft(F.col("a").bitwiseAND(MASK), BITS).bitwiseOR(F.shiftright("b", BITS))).alias("b"), "n", "raw")
     sums = one.groupBy("lang", "m", "a", "b").agg(F.sum("n").alias("total"), *[F.sum(F.when(c, 1).otherwise(0)).alias(f"n{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))], F.sum("raw").alias("raw"))
