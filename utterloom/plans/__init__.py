@@ -1,3 +1,3 @@
 """Queries over the test tables."""
 
-from utterloom.plans import corpus, extras, scoring, signals, texts  # noqa: F401  they register themselves
+from utterloom.plans import corpus, exact, extras, scoring, signals, texts  # noqa: F401  they register themselves
