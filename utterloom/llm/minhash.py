@@ -240,24 +240,22 @@ ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
   FROM documents),
-sets AS (
-  SELECT doc_id, CASE
-    WHEN len(w) = 0 THEN []
-    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
-  FROM words),
-shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
-common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
-  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (
-  SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
-  WHERE 100 * c >= 85 * (len(p.s) + len(q.s) - c)),
+tokens AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM words),
+runs AS (
+  SELECT doc_id, n, i, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS x
+  FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM runs WHERE i + 5 <= n OR (i = 0 AND n < 5)),
+sizes AS MATERIALIZED (SELECT w.doc_id, count(s.x) AS n FROM (SELECT DISTINCT doc_id FROM words) w LEFT JOIN shingles s ON s.doc_id = w.doc_id GROUP BY 1),
+shared AS MATERIALIZED (SELECT doc_id, x FROM (SELECT *, count(*) OVER (PARTITION BY x) AS k FROM shingles) WHERE k > 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shared a JOIN shared b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
 reach(doc_id, root) AS (
-  SELECT doc_id, doc_id FROM sets
+  SELECT doc_id, doc_id FROM sizes
   UNION
   SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id),
 roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
-FROM sets JOIN roots USING (doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN roots USING (doc_id)
 """
