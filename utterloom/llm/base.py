@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,12 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def constant(spark: SparkSession, rows: list[tuple], schema: str, bound: int = 20_000) -> DataFrame:
+    """A plan's rows, made on the driver, as a table; with a broadcast hint up to bound rows, else the join decides."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= bound else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +82,18 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about chars characters each; a longer text is alone."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > chars:
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def n_words(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

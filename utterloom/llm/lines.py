@@ -23,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, partitions, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, partitions, portions, table, text_batches
 from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.perplexity import SPACES
+from utterloom.llm.syncmers import FACTOR, mix
 
 #: Shortest lines, in characters, that may differ in one place and in two.
 EDITS = ((20, 1), (40, 2))
 BLOCK, PAIRS = 256, 8192  # lines of a key that meet in one task; pairs verified at a time
+CHARS = 1 << 18  # characters of lines whose keys are made at a time; a longer line is alone
 
 
 def line_id(line: str) -> int:
@@ -49,31 +51,53 @@ def allowed(length: int, edits=EDITS) -> int:
     return max((t for n, t in edits if length >= n), default=0)
 
 
-def segments(length: int, t: int) -> list[tuple[int, int]]:
-    """Start and length of the t + 1 segments; the last ones are longer by one."""
-    size, longer = divmod(length, t + 1)
-    sizes = [size + (i > t - longer) for i in range(t + 1)]
-    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
-
-
-def keys(line: str, edits=EDITS) -> Iterator[tuple[int, int]]:
-    """(key, 1 for one of the line's own segments or 0 for a probe), each once."""
-    n, seen = len(line), set()
-    most = max((t for _, t in edits), default=0)
-    for shorter in range(most + 1):
-        length = n - shorter
-        t = allowed(length, edits) if length > 0 else 0
-        if not t or shorter > t:
-            continue
-        for i, (start, size) in enumerate(segments(length, t)):
-            low = max(0, start - i, start + shorter - (t - i))
-            high = min(n - size, start + i, start + shorter + (t - i))
-            for at in range(low, high + 1):
-                mark = (length, i, line[at : at + size])
-                if mark not in seen:
-                    seen.add(mark)
-                    data = b"%d %d " % mark[:2] + mark[2].encode("utf-8", "surrogatepass")
-                    yield (xxhash.xxh3_64_intdigest(data) ^ (1 << 63)) - (1 << 63), int(not shorter and at == start)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd factor modulo 2^64, and their inverses; kept for the largest n so far."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((int(FACTOR), pow(int(FACTOR), -1, 1 << 64))):
+            steps = np.full(n, factor, np.uint64)
+            steps[:1] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def keys(lines: list[str], edits=EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all lines as signed longs, the line's index of each, and whether it is one of the line's own segments.
+
+    A line of length l splits into t + 1 segments, the last ones longer by one. For each
+    segment number and each length that the other line may have, all lines' substrings at
+    one shift are hashed at once, from sums of code points times powers.
+    """
+    n = np.array([len(x) for x in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    first, (up, down) = np.cumsum(n) - n, powers(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)])
+    out = []
+    for shorter in range(max((t for _, t in edits), default=0) + 1):
+        other = n - shorter
+        may = np.zeros(len(n), np.int64)
+        for least, t in sorted(edits):
+            may[other >= least] = t
+        for t in {t for _, t in edits if t >= max(shorter, 1)}:
+            rows = np.flatnonzero(may == t)
+            own, length = n[rows], other[rows]
+            size, longer = np.divmod(length, t + 1)
+            for i in range(t + 1):
+                start, width = i * size + np.maximum(0, i - (t + 1 - longer)), size + (i > t - longer)
+                low = np.maximum(np.maximum(0, start - i), start + shorter - (t - i))
+                high = np.minimum(np.minimum(own - width, start + i), start + shorter + (t - i))
+                for shift in range(-i, i + 1):
+                    at = start + shift
+                    k = np.flatnonzero((at >= low) & (at <= high))
+                    s, e = first[rows[k]] + at[k], first[rows[k]] + at[k] + width[k]
+                    mark = mix((length[k] * 8 + i).astype(np.uint64))
+                    out.append((mix((sums[e] - sums[s]) * down[s] + mark).view(np.int64), rows[k], np.full(len(k), not shorter and not shift)))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
@@ -159,21 +183,30 @@ class Verifier:
                         yield p[1], p[2]
 
 
+def new_lines(texts: list[str | None], seen: set[int], edits) -> tuple[list[str], np.ndarray]:
+    """Lines that may differ in places and that the task hasn't seen lately, with their ids."""
+    if len(seen) > 500_000:  # only spares repeats
+        seen.clear()
+    own, ids = [], []
+    for text in texts:
+        for _, x in lines_of(text):
+            if allowed(len(x), edits) and (i := line_id(x)) not in seen:
+                seen.add(i)
+                own.append(x)
+                ids.append(i)
+    return own, np.array(ids, np.int64)
+
+
 def shared_keys(docs: DataFrame, edits) -> DataFrame:
     """Keys that are a segment of one line and occur in another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, seen = arrow_schema("key long,line long,own int"), set()
         for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                for _, x in lines_of(text):
-                    if allowed(len(x), edits) and (i := line_id(x)) not in seen:
-                        seen.add(i)
-                        rows += [(k, i, own) for k, own in keys(x, edits)]
-            if len(seen) > 500_000:  # only spares repeats
-                seen.clear()
-            yield batch(rows, schema)
+            own, ids = new_lines(b.column("text").to_pylist(), seen, edits)
+            for i, j in portions(own, CHARS):
+                key, at, first = keys(own[i:j], edits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i:j][at]), pa.array(first.astype(np.int32))], schema=schema)
 
     rows = docs.select("text").mapInArrow(run, "key long, line long, own int")
     return rows.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own")).where("a <> b and own = 1").select("key")
@@ -188,16 +221,12 @@ def near_links(docs: DataFrame, edits=EDITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, seen = arrow_schema("key long,line long,text string"), set()
         for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                for _, x in lines_of(text):
-                    if allowed(len(x), edits) and (i := line_id(x)) not in seen:
-                        seen.add(i)
-                        own = [k for k, _ in keys(x, edits)]
-                        rows += [(own[j], i, x) for j in np.flatnonzero(passes(bits.value, np.array(own)))]
-            if len(seen) > 500_000:
-                seen.clear()
-            yield batch(rows, schema)
+            own, ids = new_lines(b.column("text").to_pylist(), seen, edits)
+            for i, j in portions(own, CHARS):
+                key, at, _ = keys(own[i:j], edits)
+                k = np.flatnonzero(passes(bits.value, key))
+                texts = pa.array(own[i:j], pa.string()).take(pa.array(at[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(ids[i:j][at[k]]), texts], schema=schema)
 
     lines = docs.select("text").mapInArrow(run, "key long, line long, text string").join(useful, "key", "left_semi")
     lines = cut(lines.groupBy("key", "line").agg(F.first("text").alias("text")))
