@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,14 +31,19 @@ CACHED = 300_000  # pieces of text whose ids a worker remembers before it starts
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: White space next to a space, and other white space than the usual: a text with any is encoded as a whole.
+RUNS = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 @functools.cache
 def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], bytes]:
     """Text to ids, as little-endian unsigned 32-bit bytes.
 
     The vocabulary is that of byte_bpe_50k.json, as ranks. The pattern that splits text
     before the merges always splits before a single space between other characters, so
-    the parts between single spaces are encoded once and remembered. A text with two
-    spaces in a row is encoded as a whole.
+    the parts between single spaces are encoded once and remembered. The parts of a text
+    that aren't known are encoded in one go and told apart by their lengths in bytes.
     """
     import public_tokenizers
     import tiktoken
@@ -45,23 +51,33 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], bytes]:
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    lengths[list(ranks.values())] = [len(x) for x in ranks]
     known: dict[str, bytes] = {}
 
     def to_bytes(text: str) -> bytes:
         return np.array(plain(text), "<u4").tobytes()
 
+    def learn(parts: list[str]) -> None:
+        if len(known) + len(parts) > CACHED:
+            known.clear()
+        ids = np.array(plain(" " + " ".join(parts)), "<u4")
+        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([1 + len(x.encode("utf-8", "surrogatepass")) for x in parts])) + 1
+        data, start = ids.tobytes(), 0
+        for x, end in zip(parts, (4 * ends).tolist()):
+            known[x] = data[start:end]
+            start = end
+
     def encode(text: str) -> bytes:
-        if "  " in text:
+        if any(x in text for x in RUNS) or RARE.search(text):
             return to_bytes(text)
         first, *rest = text.split(" ")
-        ids = [known.get(x) for x in rest]
+        last = rest.pop() if rest and not rest[-1] else None
+        ids = list(map(known.get, rest))
         if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    ids[i] = known[rest[i]] = to_bytes(" " + rest[i])
-        return to_bytes(first) + b"".join(ids)
+            learn(list(dict.fromkeys(x for x, i in zip(rest, ids) if i is None)))
+            ids = [known[x] if i is None else i for x, i in zip(rest, ids)]
+        return to_bytes(first) + b"".join(ids) + (b"" if last is None else to_bytes(" "))
 
     return encode
 
