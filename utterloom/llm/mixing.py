@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import cut, n_words, table
+from utterloom.llm.base import constant, cut, n_words, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), Fraction(3, 2), 2, 20_240_229
 BITS, LEVELS = 12, 3  # digits of the descent; 48 bits of the hash are used in all
@@ -122,7 +122,7 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = S
         if not any(rest.values()):
             break
         shift = BITS * (LEVELS - level)
-        at = spark.createDataFrame([(p, head[p], rest[p]) for p in sorted(words) if rest[p]], "pattern string, head long, rest long")
+        at = constant(spark, [(p, head[p], rest[p]) for p in sorted(words) if rest[p]], "pattern string, head long, rest long")
         sums = sized.join(at, "pattern").where(F.shiftright("u", shift + BITS) == F.col("head")).groupBy("pattern", "head", "rest", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").alias("n"))
         run = sums.withColumn("upto", F.expr("sum(n) over (partition by pattern order by cell)")).where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("n")).alias("below")), "cell").alias("x"))
         got = {r.pattern: (r.x.cell, r.x.below) for r in run.collect()}
@@ -135,7 +135,7 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = S
         at = [(p, cut_at[p], rest[p], closing[p]) for p in sorted(words) if rest[p] > 0]
         if not at:
             break
-        free = sized.join(spark.createDataFrame(at, "pattern string, cut long, rest long, done array<long>"), "pattern").where("u >= cut and size > 0 and not array_contains(done, u) and abs(size - rest) < rest")
+        free = sized.join(constant(spark, at, "pattern string, cut long, rest long, done array<long>"), "pattern").where("u >= cut and size > 0 and not array_contains(done, u) and abs(size - rest) < rest")
         best = free.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), F.col("u"), F.col("size"))).alias("x"))
         got = {r.pattern: r.x for r in best.collect()}
         for p in words:
@@ -143,7 +143,7 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = S
             closing[p] += [got[p].u] if p in got else []
     rows = [(p, whole[p][0], cut_at[p], closing[p]) for p in sorted(words)]
     report = {"sizes": dict(sizes), "targets": goal, "flow": flow}
-    return spark.createDataFrame(rows, "pattern string, copies long, cut long, closing array<long>"), report
+    return constant(spark, rows, "pattern string, copies long, cut long, closing array<long>"), report
 
 
 def copies() -> Column:
@@ -176,5 +176,5 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cut(sized(docs, F.array("source")))
     made, report = plan(own)
     rows = [(json.dumps([s], separators=(",", ":"), ensure_ascii=False), int(n), float(report["targets"][s])) for s, n in report["sizes"].items()]
-    each = spark.createDataFrame(rows, "pattern string, source_size long, target double")
+    each = constant(spark, rows, "pattern string, source_size long, target double")
     return own.join(made, "pattern").join(each, "pattern").select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
