@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, put, scratch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, portions, put, scratch, table, text_batches
 from utterloom.llm.syncmers import mix
 
 ORDER, SHARE_BITS = 5, 18
@@ -36,6 +36,7 @@ FENCE, LEAST_WIDTH = 3.0, 0.02  # multiples of the quartiles' distance, and the
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 START, BITS, MASK = 2, 21, (1 << 21) - 1  # START pads a text's beginning; BITS of a code point
 BLOCK = 64  # characters whose mean log probability counts as one
+CHARS = 1 << 19  # characters of texts that a task's arrays hold at a time; a longer text is alone
 DENSE = 12  # bits of a code point's number among those of a chunk
 COUNTS = "lang string, a long, b long, n long"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
@@ -131,11 +132,12 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 texts.setdefault(lang or "", []).append(text or "")
             for lang, own in texts.items():
                 parts = held.setdefault(lang, [])
-                parts.append(count(sequence(own)[0]))
-                if sum(len(p[0]) for p in parts) > 1_000_000:
-                    held[lang] = [merged(parts)]
-                    if len(held[lang][0][0]) > 800_000:
-                        yield flush(lang)
+                for i, j in portions(own, CHARS):
+                    parts.append(count(sequence(own[i:j])[0]))
+                    if sum(len(p[0]) for p in parts) > 600_000:
+                        parts[:] = [merged(parts)]
+                if sum(len(p[0]) for p in parts) > 500_000 and len(parts) == 1:
+                    yield flush(lang)
         for lang in list(held):
             yield flush(lang)
 
@@ -311,8 +313,9 @@ def score(docs: DataFrame, models: dict[str, bytes], keep: list[str]) -> DataFra
                 if lang not in known:
                     known[lang] = Model(np.memmap(SparkFiles.get(names[lang]), np.uint8, "r"))
                 own = [i for i, s in enumerate(langs) if s == lang and not base[i][-1]]
-                for i, v in zip(own, known[lang].log_perplexities([texts[i] for i in own]) if own else []):
-                    logs[i] = v
+                for s, e in portions([texts[i] for i in own], CHARS):
+                    for i, v in zip(own[s:e], known[lang].log_perplexities([texts[i] for i in own[s:e]])):
+                        logs[i] = v
             more = batch([(*f, v) for f, v in zip(base, logs)], features)
             yield pa.RecordBatch.from_arrays([*x.columns[2:], *more.columns], schema=pa.schema([*list(x.schema)[2:], *features]))
 
