@@ -149,6 +149,21 @@ def test_model_is_kneser_ney(spark):
     assert np.allclose(np.exp(model.log_probability(a, b)), [p(g) for g in grams])
 
 
+def test_model_keeps_rare_ngrams_of_a_long_corpus(spark):
+    rng = random.Random(51)
+    texts = [prose(rng, 1000) for _ in range(45)] + ["qxzjw vkqyx", "wjq zzxkv"]
+    assert sum(map(len, texts)) > 1 << 18
+    models = perplexity.train(table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    model = perplexity.Model(np.frombuffer(models["en"], np.uint8))
+    p = slow_model(texts, perplexity.ORDER)
+    grams = [t[i : i + 5] for t in texts[-2:] for i in range(len(t) - 4)]
+    a, b = perplexity.packed([np.array([ord(g[i]) for g in grams], np.int64) for i in range(5)])
+    assert np.allclose(np.exp(model.log_probability(a, b)), [p(g) for g in grams])
+    after = [texts[-2][:4] + chr(c) for c in sorted({ord(c) for t in texts for c in t})]  # with what unseen characters get, all follow a rare context
+    a, b = perplexity.packed([np.array([ord(g[i]) for g in after], np.int64) for i in range(5)])
+    assert np.isclose(np.exp(model.log_probability(a, b)).sum(), 1 - p("\x00" * 5) * np.prod([np.exp(model.look(model.arrays[2 * m - 1], perplexity.hashed(*perplexity.context(a[:1], b[:1]), m - 1))[1][0]) for m in range(2, 6)]))
+
+
 def test_counts_with_a_large_alphabet():
     rng = np.random.default_rng(6)
     codes = np.concatenate([[2] * 4, rng.integers(3, 20_000, 9_000), [2] * 4, rng.integers(3, 50, 2_000)]).astype(np.int64)

@@ -56,12 +56,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def put(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write a small file to the shared folder, through its own file system."""
+def put(spark: SparkSession, path: str, data) -> None:
+    """Write bytes, which may be a mapped file's, to the shared folder through its own file system, a few MB at a time."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(data))
+        for i in range(0, len(data), 4 << 20):
+            out.write(bytearray(data[i : i + (4 << 20)]))
     finally:
         out.close()
 

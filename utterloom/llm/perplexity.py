@@ -3,13 +3,12 @@
 The language model is a modified Kneser-Ney model of code points, one per language,
 counted by Spark over every text: a task counts the n-grams of the highest order, Spark
 sums them, and the lower orders' continuation counts, the counts of counts and the
-contexts' totals are aggregates of that table. A language's model is a set of sorted
-64-bit hash arrays with log probabilities and back-off weights beside them, in one file
-that executors map and search by bisection.
+contexts' totals are aggregates of that table. Probabilities are joins from the lowest
+order up. A language's model is a set of sorted 64-bit hash arrays with log probabilities
+and back-off weights beside them, in one file that executors map and search by bisection.
 
-A model keeps the n-grams of each order that make up at least 2^-18 of the language's
-characters, so that it has 2^18 entries an order at most, whatever the corpus; discounts
-and totals come from the whole tables, and what is not kept backs off.
+A model keeps every n-gram and context, so its file grows with the distinct n-grams of the
+corpus. Spark sorts the entries; the driver only writes them out, a partition at a time.
 
 A text's log perplexity is the median over its blocks of 64 characters, so that a quoted
 passage in another language or a long number doesn't speak for the whole text. A text
@@ -19,6 +18,9 @@ rules, widened by a multiple of their distance.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, portions, put, scratch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, partitions, portions, put, scratch, table, text_batches
 from utterloom.llm.syncmers import mix
 
-ORDER, SHARE_BITS = 5, 18
+ORDER = 5
+HELD = 1 << 16  # entries of a model that go to the driver in one row
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated 3-word windows
 FENCE, LEAST_WIDTH = 3.0, 0.02  # multiples of the quartiles' distance, and the least that it counts as
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
@@ -145,16 +148,14 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def levels(counts: DataFrame) -> DataFrame:
-    """lang, m, a, b, n, raw for each order m: n is the count at the highest order and else the number of distinct characters before."""
-    top = counts.select("lang", F.lit(ORDER).alias("m"), "a", "b", "n", F.col("n").alias("raw"))
-    out, below = top, top
+    """lang, m, a, b, n for each order m: n is the count at the highest order and else the number of distinct characters before. Lower orders are checkpointed one by one."""
+    out, below = counts.select("lang", F.lit(ORDER).alias("m"), "a", "b", "n"), counts
     for m in range(ORDER - 1, 0, -1):
         drop = ORDER - m
         a = F.col("a").bitwiseAND((1 << BITS * max(0, 3 - drop)) - 1)
         b = F.col("b") if drop <= 3 else F.col("b").bitwiseAND(MASK)
-        below = below.select("lang", a.alias("a"), b.alias("b"), "raw").groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.sum("raw").alias("raw"))
-        below = below.select("lang", F.lit(m).alias("m"), "a", "b", "n", "raw")
-        out = out.unionByName(below)
+        below = cut(below.select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n")))
+        out = out.unionByName(below.select("lang", F.lit(m).alias("m"), "a", "b", "n"))
     return out
 
 
@@ -195,37 +196,6 @@ class Model:
             self.arrays.append((keys, values))
             at += 16 * n
 
-    @staticmethod
-    def pack(grams: dict[int, tuple], contexts: dict[int, tuple], cuts: dict[int, tuple]) -> bytes:
-        """From each order's (a, b, n), each order's contexts (a, b, total, n1, n2, n3) and its discounts.
-
-        p(w | context) is the discounted share of the context's total, plus the context's
-        back-off weight times p(w | shorter context); below order 1 all characters are alike.
-        """
-        floor = -np.log(len(grams[1][0]) + 1.0)
-        model, parts = Model.__new__(Model), []
-        model.floor, model.arrays = floor, []
-        for m in range(1, ORDER + 1):
-            d = np.array([0.0, *cuts[m]])
-            a, b, total, n1, n2, n3 = contexts[m]
-            weight = (d[1] * n1 + d[2] * n2 + d[3] * n3) / total
-            keys = hashed(a, b, m - 1) if m > 1 else np.zeros(len(a), np.uint64)
-            order = np.argsort(keys)
-            backs = keys[order], np.log(weight)[order]
-            totals = total[order]
-            a, b, n = grams[m]
-            ca, cb = context(a, b)
-            at = np.searchsorted(backs[0], hashed(ca, cb, m - 1) if m > 1 else np.zeros(len(a), np.uint64))
-            lower = model.log_probability(a, b, m - 1)
-            p = np.maximum(n - d[np.minimum(n, 3)], 0) / totals[at] + np.exp(backs[1][at] + lower)
-            keys = hashed(a, b, m)
-            order = np.argsort(keys)
-            model.arrays += [(keys[order], np.log(p)[order]), backs]
-        for keys, values in model.arrays:
-            parts += [keys.tobytes(), values.tobytes()]
-        head = np.array([len(k) for k, _ in model.arrays], np.int64)
-        return b"".join([head.tobytes(), np.array([floor]).tobytes(), *parts])
-
     @staticmethod
     def look(arrays: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known, values = arrays
@@ -263,35 +233,113 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> dict[str, bytes]:
-    """Each language's model, packed. The driver sees 2^18 entries an order and language at most."""
-    tables = cut(levels(cut(ngram_counts(docs))))
-    size = {r.lang: int(r.n) for r in tables.where(f"m = {ORDER}").groupBy("lang").agg(F.sum("raw").alias("n")).collect()}
-    if not size:
-        return {}
-    least = tables.sparkSession.createDataFrame([(s, -(-n >> SHARE_BITS)) for s, n in size.items()], "lang string, least long")
-    often = tables.groupBy("lang", "m", F.least("n", F.lit(5)).alias("c")).agg(F.count("*").alias("k")).collect()
-    kept = tables.join(least, "lang").where("raw >= least").select("lang", "m", "a", "b", "n").toPandas()
-    one = tables.select("lang", "m", F.shiftright("a", BITS).alias("a"), (F.shiftleft(F.col("a").bitwiseAND(MASK), BITS).bitwiseOR(F.shiftright("b", BITS))).alias("b"), "n", "raw")
-    sums = one.groupBy("lang", "m", "a", "b").agg(F.sum("n").alias("total"), *[F.sum(F.when(c, 1).otherwise(0)).alias(f"n{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))], F.sum("raw").alias("raw"))
-    contexts = sums.join(least, "lang").where("raw >= least").drop("raw", "least").toPandas()
-    out = {}
-    for lang in size:
-        grams, backs, cuts = {}, {}, {}
-        for m in range(1, ORDER + 1):
-            x = kept[(kept.lang == lang) & (kept.m == m)]
-            grams[m] = x.a.to_numpy(), x.b.to_numpy(), x.n.to_numpy()
-            x = contexts[(contexts.lang == lang) & (contexts.m == m)]
-            backs[m] = tuple(x[c].to_numpy() for c in ("a", "b", "total", "n1", "n2", "n3"))
-            cuts[m] = discounts([next((r.k for r in often if (r.lang, r.m, r.c) == (lang, m, c)), 0) for c in (1, 2, 3, 4)])
-        out[lang] = Model.pack(grams, backs, cuts)
+def entries(tables: DataFrame, cuts: dict[tuple[str, int], tuple]) -> DataFrame:
+    """lang, slot, a, b, value: slot 2m - 2 has the log probabilities of order m, 2m - 1 the log back-off weights of its contexts.
+
+    p(w | context) is the discounted share of the context's total, plus the context's
+    back-off weight times p(w | shorter context); below order 1 all characters are alike.
+    """
+    rates = F.broadcast(tables.sparkSession.createDataFrame([(*k, *v) for k, v in cuts.items()], "lang string, m int, d1 double, d2 double, d3 double, floor double"))
+    ca, cb = F.shiftright("a", BITS).alias("ca"), F.shiftleft(F.col("a").bitwiseAND(MASK), BITS).bitwiseOR(F.shiftright("b", BITS)).alias("cb")
+    counts = [F.sum(F.when(c, 1).otherwise(0)).alias(f"n{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
+    sums = tables.select("lang", "m", ca, cb, "n").groupBy("lang", "m", "ca", "cb").agg(F.sum("n").alias("total"), *counts)
+    sums = cut(sums.join(rates, ["lang", "m"]).select("lang", "m", "ca", "cb", "total", F.expr("(d1 * n1 + d2 * n2 + d3 * n3) / total").alias("weight")))
+    out = sums.select("lang", (2 * F.col("m") - 1).alias("slot"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.log("weight").alias("value"))
+    below = None
+    for m in range(1, ORDER + 1):
+        drop = ORDER - m + 1
+        sa, sb = F.col("a").bitwiseAND((1 << BITS * max(0, 3 - drop)) - 1), F.col("b") if drop <= 3 else F.col("b").bitwiseAND(MASK)
+        own = tables.where(f"m = {m}").select("lang", "a", "b", "n", ca, cb, sa.alias("sa"), sb.alias("sb"))
+        own = own.join(sums.where(f"m = {m}").drop("m"), ["lang", "ca", "cb"]).join(rates.where(f"m = {m}").drop("m"), "lang")
+        own = own.withColumn("lower", F.col("floor")) if below is None else own.join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["lang", "sa", "sb"])
+        below = cut(own.select("lang", "a", "b", F.expr("greatest(n - case when n = 1 then d1 when n = 2 then d2 else d3 end, 0) / total + weight * lower").alias("p")))
+        out = out.unionByName(below.select("lang", F.lit(2 * m - 2).alias("slot"), "a", "b", F.log("p").alias("value")))
     return out
 
 
+def sorted_blobs(rows: DataFrame) -> DataFrame:
+    """lang, slot, keys, vals: the entries by language, slot and unsigned key, as bytes of up to HELD entries."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            slot, a, b = (x.column(c).to_numpy() for c in ("slot", "a", "b"))
+            keys = np.zeros(len(slot), np.uint64)
+            for m in range(1, ORDER + 1):  # a context of order m has m - 1 characters; the empty one's key is 0
+                at = (slot == 2 * m - 2) | (slot == 2 * m + 1)
+                keys[at] = hashed(a[at], b[at], m)
+            signed = (keys ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([x.column("lang"), x.column("slot"), pa.array(signed), x.column("value")], names=["lang", "slot", "key", "value"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, at, held = arrow_schema("lang string,slot int,keys binary,vals binary"), None, []
+
+        def flush() -> pa.RecordBatch:
+            keys, values = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            return batch([(*at, (keys.view(np.uint64) ^ np.uint64(1 << 63)).tobytes(), values.tobytes())], schema)
+
+        for x in batches:
+            slot, key, value = (x.column(c).to_numpy() for c in ("slot", "key", "value"))
+            lang = np.array(x.column("lang").to_pylist(), object)
+            edges = [0, *(np.flatnonzero((lang[1:] != lang[:-1]) | (slot[1:] != slot[:-1])) + 1), len(slot)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if held and ((lang[i], int(slot[i])) != at or sum(len(k) for k, _ in held) >= HELD):
+                    yield flush()
+                at = lang[i], int(slot[i])
+                held.append((key[i:j], value[i:j]))
+        if held:
+            yield flush()
+
+    keyed = rows.mapInArrow(key, "lang string, slot int, key long, value double")
+    ordered = keyed.repartitionByRange(partitions(rows.sparkSession), "lang", "slot", "key").sortWithinPartitions("lang", "slot", "key")
+    return ordered.mapInArrow(pack, "lang string, slot int, keys binary, vals binary")
+
+
+def train(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Each language's model with all n-grams, as a mapped file on the driver, which holds a partition of entries at a time."""
+    tables = levels(cut(ngram_counts(docs)))
+    often = {(r.lang, r.m, r.c): r.k for r in tables.groupBy("lang", "m", F.least("n", F.lit(5)).alias("c")).agg(F.count("*").alias("k")).collect()}
+    floors = {s: -np.log(sum(often.get((s, 1, c), 0) for c in range(1, 6)) + 1.0) for s in {k[0] for k in often}}
+    if not floors:
+        return {}
+    cuts = {(s, m): (*discounts([often.get((s, m, c), 0) for c in (1, 2, 3, 4)]), float(np.exp(v))) for s, v in floors.items() for m in range(1, ORDER + 1)}
+    folder = tempfile.mkdtemp(prefix="utterloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    paths, sizes = {s: f"{folder}/{i}" for i, s in enumerate(floors)}, {s: [0] * 2 * ORDER for s in floors}
+    for path in paths.values():
+        with open(path, "wb") as f:
+            f.write(bytes(8 * (2 * ORDER + 1)))
+    with open(f"{folder}/values", "w+b") as values:
+        at = None
+
+        def close() -> None:  # a slot's values follow its keys
+            values.seek(0)
+            with open(paths[at[0]], "ab") as f:
+                shutil.copyfileobj(values, f)
+            values.seek(0)
+            values.truncate()
+
+        for r in sorted_blobs(entries(tables, cuts)).toLocalIterator():
+            if at and at != (r.lang, r.slot):
+                close()
+            at = r.lang, r.slot
+            with open(paths[r.lang], "ab") as f:
+                f.write(r["keys"])
+            values.write(r["vals"])
+            sizes[r.lang][r.slot] += len(r["keys"]) // 8
+        close()
+    for s, path in paths.items():
+        with open(path, "r+b") as f:
+            f.write(np.array(sizes[s], np.int64).tobytes() + np.array([floors[s]]).tobytes())
+    return {s: np.memmap(path, np.uint8, "r") for s, path in paths.items()}
+
+
 # ---- the filter -------------------------------------------------------------
 
 
-def score(docs: DataFrame, models: dict[str, bytes], keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, models: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns keep of docs, then FEATURES. A text is scored by its language's model; null text is empty."""
     spark = docs.sparkSession
     names = {}
