@@ -185,6 +185,15 @@ def test_odd_texts_are_rejected_and_clean_ones_kept(spark):
     assert perplexity.judged(table(spark, [])).count() == 0 and perplexity.passed(table(spark, [])).count() == 0
 
 
+def test_partly_bad_texts_are_rejected(spark):
+    rng = random.Random(52)
+    rows = [(i, prose(rng, 160), "en", "s", 0) for i in range(200)]
+    junk = lambda n: "".join(rng.choice("bcdfgjkmpqwxyz0123456789    ") for _ in range(n))
+    rows += [(1000 + i, prose(rng, 90) + " " + junk(350), "en", "s", 0) for i in range(4)]
+    got = {r.doc_id: r for r in perplexity.judged(table(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(4))
+
+
 # ---- mixing -----------------------------------------------------------------
 
 

@@ -10,9 +10,8 @@ and back-off weights beside them, in one file that executors map and search by b
 A model keeps every n-gram and context, so its file grows with the distinct n-grams of the
 corpus. Spark sorts the entries; the driver only writes them out, a partition at a time.
 
-A text's log perplexity is the median over its blocks of 64 characters, so that a quoted
-passage in another language or a long number doesn't speak for the whole text. A text
-passes if it lies in its language's band: the quartiles over all texts that pass the base
+A text's log perplexity is the mean over all its characters, so that every part of it
+counts by its length. A text passes if it lies in its language's band: the quartiles over all texts that pass the base
 rules, widened by a multiple of their distance.
 """
 
@@ -38,7 +37,6 @@ MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated 3-word w
 FENCE, LEAST_WIDTH = 3.0, 0.02  # multiples of the quartiles' distance, and the least that it counts as
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 START, BITS, MASK = 2, 21, (1 << 21) - 1  # START pads a text's beginning; BITS of a code point
-BLOCK = 64  # characters whose mean log probability counts as one
 CHARS = 1 << 19  # characters of texts that a task's arrays hold at a time; a longer text is alone
 DENSE = 12  # bits of a code point's number among those of a chunk
 COUNTS = "lang string, a long, b long, n long"
@@ -219,18 +217,17 @@ class Model:
         return out
 
     def log_perplexities(self, texts: list[str]) -> list[float | None]:
-        """Median over blocks of the mean negative log probability; null for a text without characters. A short last block belongs to the one before."""
+        """Mean negative log probability of all characters; null for a text without characters."""
         codes, ends = sequence(texts)
         n = len(codes) - ORDER + 1
         ok = codes[ORDER - 1 :] != START
         a, b = packed([codes[i : i + n][ok] for i in range(ORDER)])
         total = np.concatenate([[0.0], np.cumsum(self.log_probability(a, b))])
         upto = np.cumsum([0, *(e - s - ORDER + 1 for s, e in zip([0, *ends[:-1]], ends))])
-        out: list[float | None] = []
-        for s, e in zip(upto, upto[1:]):
-            cuts = np.append(np.arange(s, max(s + 1, e - BLOCK + 1), BLOCK), e)
-            out.append(float(np.median(-np.diff(total[cuts]) / np.diff(cuts))) if e > s else None)
-        return out
+        return [float((total[s] - total[e]) / (e - s)) if e > s else None for s, e in zip(upto, upto[1:])]
+
+
+# ---- training ---------------------------------------------------------------
 
 
 def entries(tables: DataFrame, cuts: dict[tuple[str, int], tuple]) -> DataFrame:
