@@ -574,6 +574,16 @@ def test_fixed_patterns():
         assert pii.base_spans(text) == slow_spans(text), text
 
 
+def test_every_form_of_a_spelled_address_is_proposed():
+    pattern = dict(pii.GENERATORS)["email"]
+    for text in ("john.smith at example.com", "john{at}example{dot}com", "john<at>example.com", "john ( at ) example.com", "john [ at ] example.org", "john at example\ndot\ncom"):
+        assert pii.candidates(text) == [(0, len(text), "email")]
+    rng = random.Random(53)
+    for _ in range(30_000):
+        text = "".join(rng.choice(["a", "b2", "-", ".", "x.y", " ", "\n", "at", " at ", "AT", "dot", " dot ", "@", "(", ")", "[", "]", "{", "}", "<", ">", "com", "K", "ſ", "é", "w" * 63, "_"]) for _ in range(rng.randint(0, 16)))
+        assert [c for c in pii.candidates(text) if c[2] == "email"] == [(*m.span(), "email") for m in pattern.finditer(text)], text
+
+
 def test_held_out_accuracy_and_clean_texts():
     rng, hit, n, wrong, clean = random.Random(20), Counter(), Counter(), 0, 0
     for _ in range(1500):

@@ -106,11 +106,34 @@ CUES = (
 )
 
 
+#: What every match of the e-mail generator holds between its name and its domain, and a character of the name.
+SIGN, NAME = re.compile(r"@|(?<=[\s\[({<])at(?=[\s\])}>])", re.I), re.compile(r"[A-Za-z0-9._%+-]", re.I)
+
+
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """The e-mail generator's matches, found from their signs: the name ends at most three characters before one."""
+    pattern, free = GENERATORS[0][1], 0
+    for sign in SIGN.finditer(text):
+        for end in range(max(free + 1, sign.start() - 3), sign.start() + 1):
+            if NAME.match(text[end]) or not NAME.match(text[end - 1]):
+                continue
+            start = end
+            while start > max(free, end - 64) and NAME.match(text[start - 1]):
+                start -= 1
+            while start < end and text[start] in "._%+-":
+                start += 1
+            if start < end and (m := pattern.match(text, start)):
+                yield m.span()
+                free = m.end()
+                break
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that a generator proposes, of all kinds, overlapping ones too."""
-    some = any(c in text for c in "0123456789")
-    spelled = "@" in text or " dot " in (low := text.lower()) or "dot)" in low or "dot]" in low or "[at" in low or "(at" in low
-    return [(*m.span(), kind) for kind, pattern in GENERATORS if (spelled if kind == "email" else some) for m in pattern.finditer(text)]
+    out = [(*x, "email") for x in spelled(text)]
+    if any(c in text for c in "0123456789"):
+        out += [(*m.span(), kind) for kind, pattern in GENERATORS[1:] for m in pattern.finditer(text)]
+    return out
 
 
 def iban_rest(s: str) -> int:
@@ -211,7 +234,10 @@ def example(rng: random.Random) -> tuple[str, str, int, int, bool]:
     sep = pick((" ", "-", ".", "/"))
     if true:
         if kind == "email":
-            at, dot = pick(((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), (" (at) ", " dot ")))
+            left, right = pick(("()", "[]", "{}", "<>"))
+            wide = lambda w: pick((left + w + right, f" {left}{w}{right} ", f" {left} {w} {right} "))
+            at = pick((" at ", "\nat\n", " @ ", "@ ", wide("at"), wide("at"), wide("at")))
+            dot = pick((" dot ", "\ndot\n", wide("dot"), wide("dot"), "."))
             s = word() + pick(("", ".", "_")) + pick((word(), n(2))) + at + word() + dot + pick(("com", "org", "net", "de", "fr", "es", "example" + dot + "com"))
         elif kind == "ip":
             h = lambda: f"{rng.randrange(1, 65536):x}"
