@@ -78,6 +78,19 @@ def test_syncmers_are_those_of_the_definition():
         assert len(set(names.values())) == len(names)
 
 
+def test_long_texts_keep_all_anchors_with_positions():
+    rng = random.Random(54)
+    passage = prose(rng, 50)
+    a, b = prose(rng, 9_000) + " " + passage, passage + " " + prose(rng, 9_000)
+    x, y = (syncmers.Marked(0, t).marks for t in (a, b))
+    (at, ha), (_, hb) = syncmers.anchors(a), syncmers.anchors(b)
+    assert len(x) == len(at) > 5_000 and (syncmers.from_text(syncmers.to_text(x)) & np.uint64(0xFFFFFFFF) == at).all()
+    one, two = ({int(h) >> 32 for h in t} for t in (ha, hb))
+    assert syncmers.likeness(x, y) == len(one & two) / len(one | two) > 0
+    assert any(n > 0.8 * len(passage) and p - q == a.index(passage) for p, q, n in syncmers.matches(x, y))
+    assert syncmers.matches(x, y) == syncmers.shared_spans(a, b)
+
+
 def test_likeness_and_shared_spans():
     rng = random.Random(3)
     a, b = prose(rng, 400), prose(rng, 400)

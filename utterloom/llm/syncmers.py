@@ -6,9 +6,10 @@ an edit moves only the anchors that it touches: the anchors of a text whose tail
 replaced are the old ones before the cut plus those of the new tail. Shared anchors with
 one shift of position mark shared spans.
 
-A fingerprint is the sorted list of the smallest distinct anchor hashes, 32 bits each
-in hex; its length is bounded. The likeness of two fingerprints estimates the share of
-common anchors, and is exact where a text has fewer anchors than a fingerprint holds.
+A fingerprint lists all anchors in order of position, as 32 bits of hash and 32 bits of
+position each, in hex; it grows with the text. The likeness of two fingerprints is the
+share of common hashes among the distinct ones of both, and their marks also tell where
+the common spans are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from utterloom.llm.base import arrow_schema, batch, partitions, table, text_batches
 
-K, S, SKETCH = 24, 8, 128
+K, S = 24, 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LOWEST = -(2**63)
@@ -79,63 +80,78 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h)
 
 
-def sketch(hashes: np.ndarray, text: str, size: int = SKETCH) -> np.ndarray:
-    """The smallest distinct anchor hashes. A text without anchors stands for itself; the empty text has none."""
+def marked(at: np.ndarray, hashes: np.ndarray, text: str) -> np.ndarray:
+    """All anchors, hash over position. A text without anchors stands for itself; the empty text has none."""
     if not len(hashes) and text:
-        return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint32)
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:size]
+        return np.array([xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) << 32], np.uint64)
+    return hashes >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64)
 
 
 def to_text(marks: np.ndarray) -> str:
-    return marks.astype(">u4").tobytes().hex()
+    return marks.astype(">u8").tobytes().hex()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Share of common marks among the smallest of both; 1 for two empty ones."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common hashes among the distinct ones of both; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both, n = np.unique(np.concatenate([a, b]), return_counts=True)
-    return float((n[:size] > 1).mean())
+    a, b = np.unique(a >> np.uint64(32)), np.unique(b >> np.uint64(32))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
-def shared_spans(a: str, b: str, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of what both texts have in common, from anchors with one shift.
+def spans(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int = K) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of what two lists of (positions, hashes) have in common, from anchors with one shift.
 
-    Only anchors that occur once in each text are matched. Spans are in order of their
+    Only anchors that occur once in each list are matched. Spans are in order of their
     start in a and run from the first to the end of the last anchor of the same shift
     without another shift in between; the characters in between may differ.
     """
-    (at, ha), (bt, hb) = anchors(a, k, s), anchors(b, k, s)
-    once = [{int(h): int(p) for h, p, n in zip(*(lambda u: (u[0], t[u[1]], u[2]))(np.unique(x, return_index=True, return_counts=True))) if n == 1} for t, x in ((at, ha), (bt, hb))]
-    spans: list[list[int]] = []
-    for p, q in sorted((p, once[1][h]) for h, p in once[0].items() if h in once[1]):
-        if spans and spans[-1][0] - spans[-1][1] == p - q:
-            spans[-1][2] = p + k - spans[-1][0]
+    once = []
+    for at, h in (a, b):
+        h, first, n = np.unique(h, return_index=True, return_counts=True)
+        once.append((h[n == 1], at[first[n == 1]]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    out: list[list[int]] = []
+    for p, q in sorted(zip(once[0][1][i].tolist(), once[1][1][j].tolist())):
+        if out and out[-1][0] - out[-1][1] == p - q:
+            out[-1][2] = p + k - out[-1][0]
         else:
-            spans.append([p, q, k])
-    return [tuple(x) for x in spans]
+            out.append([p, q, k])
+    return [tuple(x) for x in out]
+
+
+def matches(a: np.ndarray, b: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """The common spans of two fingerprints' marks, without their texts."""
+    low = np.uint64(0xFFFFFFFF)
+    return spans(*(((x & low).astype(np.int64), x >> np.uint64(32)) for x in (a, b)), k)
+
+
+def shared_spans(a: str, b: str, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
+    """The common spans of two texts."""
+    return spans(anchors(a, k, s), anchors(b, k, s), k)
 
 
 class Marked:
-    """A text with its anchors and its sketch."""
+    """A text with its anchors and its marks."""
 
     def __init__(self, doc, text: str | None):
         self.doc, self.text = doc, text or ""
         self.at, self.hashes = anchors(self.text)
-        self.marks = sketch(self.hashes, self.text)
+        self.marks = marked(self.at, self.hashes, self.text)
 
     def row(self, after: Marked) -> tuple:
         """The result's row, given the next document."""
         n = len(self.text)
         kept = n - n // 3
         edited = self.text[:kept] + after.text[: n // 3]
-        old = self.hashes[self.at <= kept - K]  # anchors depend on their own text alone
-        tail = anchors(edited[max(0, kept - K + 1) :])[1]
-        marks = sketch(np.concatenate([old, tail]), edited)
+        old, cut = self.at <= kept - K, max(0, kept - K + 1)  # anchors depend on their own text alone
+        at, tail = anchors(edited[cut:])
+        marks = marked(np.concatenate([self.at[old], at + cut]), np.concatenate([self.hashes[old], tail]), edited)
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         return self.doc, n, sha, to_text(self.marks), to_text(marks), likeness(self.marks, marks), likeness(self.marks, after.marks)
 
