@@ -42,6 +42,15 @@ def split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.missing_classes(rows, splits, classes)
 
 
+@query("split_completeness_all", f"WITH d AS (SELECT {SPLIT} AS split, lang || quality AS label FROM documents JOIN labels USING (doc_id)), s AS (SELECT unnest(['train', 'val', 'test']) AS split), c AS (SELECT unnest(['en0', 'en1', 'de0', 'de1', 'fr0', 'fr1', 'es0', 'es1', 'it0']) AS label) SELECT split, label FROM s, c EXCEPT SELECT split, label FROM d")
+def split_completeness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that a split lacks among all labels."""
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("split", F.concat("lang", F.col("quality").cast("string")).alias("label"))
+    splits = spark.createDataFrame([("train",), ("val",), ("test",)], "split string")
+    classes = spark.createDataFrame([(f"{s}{q}",) for s in ("en", "de", "fr", "es") for q in (0, 1)] + [("it0",)], "label string")
+    return co.missing_classes(rows, splits, classes)
+
+
 @query("split_counts", f"SELECT {SPLIT} AS split, lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY 1, 2")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy("split", "lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))

@@ -189,6 +189,41 @@ def within_between_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.within_between(pairs)
 
 
+def in_blocks(a: DataFrame, b: DataFrame, blocks: int = 8) -> DataFrame:
+    """Every row of a (vec_id, ...) with every row of b (o, ...), by blocks of either that meet in one task."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    return a.withColumn("x", block("vec_id")).withColumn("y", every).join(b.withColumn("y", block("o")).withColumn("x", every), ["x", "y"]).drop("x", "y")
+
+
+@query(
+    "leave_one_out_all",
+    f"""WITH {VECTORS},
+    d AS (SELECT a.vec_id, a.label AS truth, b.label, list_sum(list_transform(generate_series(1, len(a.q)), lambda i: abs(a.q[i] - b.q[i]))) AS s, b.vec_id AS o FROM v a, v b WHERE a.vec_id <> b.vec_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, o) AS r FROM d)
+    SELECT truth AS label, count(*) AS n, (count(*) FILTER (WHERE label = truth))::BIGINT AS hits FROM n WHERE r = 1 GROUP BY 1""",
+)
+def leave_one_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against all others."""
+    w = vectors(spark, sf_dir).select("vec_id", "label", "v")
+    other = w.select(F.col("vec_id").alias("o"), F.col("label").alias("guess"), F.col("v").alias("t"))
+    near = in_blocks(w, other).where("vec_id <> o").groupBy("vec_id", "label").agg(F.min_by("guess", F.struct(m.l1(F.col("v"), F.col("t")).alias("d"), "o")).alias("guess"))
+    return near.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when(F.col("guess") == F.col("label"), 1).otherwise(0)).alias("hits"))
+
+
+@query(
+    "within_between_all",
+    f"""WITH {VECTORS},
+    d AS (SELECT a.label = b.label AS same, list_sum(list_transform(generate_series(1, len(a.q)), lambda i: abs(a.q[i] - b.q[i]))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id)
+    SELECT avg(d) FILTER (WHERE same) AS within, avg(d) FILTER (WHERE NOT same) AS "between", (avg(d) FILTER (WHERE NOT same)) / (avg(d) FILTER (WHERE same)) AS ratio FROM d""",
+)
+def within_between_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distances within and between classes over all pairs."""
+    w = vectors(spark, sf_dir).select("vec_id", "label", "v")
+    other = w.select(F.col("vec_id").alias("o"), F.col("label").alias("b_label"), F.col("v").alias("t"))
+    return ev.within_between(in_blocks(w, other).where("vec_id < o").select(F.col("label").alias("a_label"), "b_label", m.l1(F.col("v"), F.col("t")).alias("d")))
+
+
 @query("class_weights", "WITH c AS (SELECT unnest(range(0, 12))::INTEGER AS label), n AS (SELECT c.label, greatest(count(e.label), 1) AS n FROM c LEFT JOIN embeddings e USING (label) GROUP BY 1) SELECT label, n, round(sqrt((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n)) * CASE WHEN label = 11 THEN 2.0 ELSE 1.0 END, 9) AS weight FROM n")
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.range(12).select(F.col("id").cast("int").alias("label"))
