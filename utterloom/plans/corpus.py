@@ -98,6 +98,17 @@ def first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.first_mentions(sources, slug(F.lower("text")))
 
 
+@query("first_mentions_whole", "WITH u AS (SELECT 0 AS source, item_id AS pos, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, replace(upper(text), 'ẞ', 'SS') FROM documents), k AS (SELECT *, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g')) AS key FROM u) SELECT key, text, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, pos, text) AS r FROM k) WHERE r = 1")
+def first_mentions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First mentions by whole texts, keyed by a digest."""
+    from utterloom.functions.text import slug
+
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    whole = docs.select(F.col("doc_id").alias("pos"), "text")
+    sources = [items.select(F.col("item_id").alias("pos"), "text"), whole, whole.withColumn("text", F.upper("text"))]
+    return co.first_mentions(sources, F.md5(slug(F.lower("text"))))
+
+
 @query("capped_takes", "SELECT source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3")
 def capped_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three documents of each source and language, as a report's cap."""
@@ -166,6 +177,15 @@ def order_of_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", rep.alias("rep"), F.col("lang").alias("word")).where("rep < 2")
 
 
+@query("order_of_all_takes", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rep, lang AS word FROM documents")
+def order_of_all_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place in a round-robin order of the sources."""
+    from pyspark.sql import Window
+
+    rep = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
+    return table(spark, sf_dir, "documents").select("doc_id", rep.alias("rep"), F.col("lang").alias("word"))
+
+
 @query("truth_table", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'oov' WHEN quality = 0 THEN 'variant' ELSE 'word' END AS truth_kind, CASE WHEN toxic = 1 THEN NULL ELSE lang END AS truth_label FROM labels JOIN documents USING (doc_id)")
 def truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
