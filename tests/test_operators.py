@@ -188,3 +188,11 @@ def test_splits(spark):
     v = spark.createDataFrame([("x", "train", "novelty"), ("y", "test", "novelty"), ("z", "val", "natural")], "voice string, split string, tier string")
     assert {r.split: r.ok for r in splits.requirements(v).collect()} == {"train": True, "test": False, "val": True}
     assert [splits.margin_verdict(10, b) for b in (20, 12, 9)] == ["usable", "marginal", "unusable"]
+
+
+def test_unfinished_families_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(41)], "node long")
+    with pytest.raises(RuntimeError):
+        co.families(edges, nodes, rounds=1)
+    assert {r.family for r in co.families(edges, nodes).collect()} == {0}

@@ -64,11 +64,11 @@ def across(pairs: DataFrame, splits: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where("a_split <> b_split").select("a", "b", "a_split", "b_split")
 
 
-def families(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def families(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, family: the smallest node of each component, by least labels passed on and then jumped; edges (a, b) in either direction.
 
-    Rounds read checkpoints and stop when no label changes; only the number of changed
-    labels reaches the driver.
+    Rounds read checkpoints and go on until no label changes; only whether one did reaches
+    the driver. With a bound on the rounds, families that are unfinished there are an error.
     """
     if edges.sparkSession.sparkContext.getCheckpointDir() is None:
         named = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -79,14 +79,17 @@ def families(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
         edges.sparkSession.sparkContext.setCheckpointDir(named)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("family")).checkpoint()
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if rounds is not None and done == rounds:
+            raise RuntimeError(f"families still changed after {rounds} rounds")
+        done += 1
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("family").alias("m"))
         step = labels.join(near, "node", "left").select("node", "family", F.least("family", F.coalesce("m", "family")).alias("new"))
         jump = step.alias("s").join(labels.alias("l"), F.col("s.new") == F.col("l.node")).select("s.node", "s.family", F.least("s.new", "l.family").alias("new")).checkpoint()
         labels = jump.select("node", F.col("new").alias("family"))
         if jump.where("new <> family").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def utterance_plan(forms: DataFrame, rates: list[int], offset: int = 0) -> DataFrame:
