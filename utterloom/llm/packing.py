@@ -1,11 +1,15 @@
 """Packing documents into training windows by the sum-of-squares rule.
 
-A document's ids are cut into whole windows and a rest. Each rest is placed, in the order
-in which it arrives, into the fill level whose choice leaves the smallest sum of squared
-counts of partially filled windows; a level array holds the counts. The rule keeps every
-fill level about equally rare, so that a rest of any size soon finds its complement.
-When a task ends, its open windows are cut anew into full windows, and what is left over
-into sequences whose lengths are powers of two, which need no padding.
+A document's ids are cut into whole windows and a rest. Fill levels are counted in steps
+of a few ids. Each rest is placed, in the order in which it arrives, into the level whose
+choice leaves the smallest sum of squared counts of partially filled windows; a level
+array holds the counts. The rule keeps every level about equally rare, so that a rest of
+any size soon finds its complement, and with few levels few windows stay open. A window
+that lacks less than a step is closed by the first ids of the next document.
+
+When a task ends, its open windows, about a few for each level however much it has read,
+are cut anew into full windows, and what is left over into sequences whose lengths are
+powers of two, which need no padding.
 
 A task packs what it reads and nothing is shuffled. A task that is run again reads the
 same rows and makes the same sequences.
@@ -13,7 +17,6 @@ same rows and makes the same sequences.
 
 from __future__ import annotations
 
-import base64
 import functools
 import re
 import zlib
@@ -26,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utterloom.llm.base import arrow_schema, batch, table, text_batches
 
-WINDOW, END_ID, VOCABULARY = 2048, 1, "byte_bpe_50k.tiktoken"
-CACHED = 300_000  # pieces of text whose ids a worker remembers before it starts anew
+WINDOW, END_ID, VOCABULARY = 2048, 1, "byte_bpe_50k.json"
+STEP = 32  # ids of a fill level
+CACHED = 600_000  # pieces of text whose ids a worker remembers before it starts anew
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,85 +41,121 @@ RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u20
 
 
 @functools.cache
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], bytes]:
-    """Text to ids, as little-endian unsigned 32-bit bytes.
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids, as little-endian unsigned 32-bit bytes each.
 
-    The vocabulary is that of byte_bpe_50k.json, as ranks. The pattern that splits text
-    before the merges always splits before a single space between other characters, so
-    the parts between single spaces are encoded once and remembered. The parts of a text
-    that aren't known are encoded in one go and told apart by their lengths in bytes.
+    The vocabulary's pattern always splits before a single space between other characters,
+    so the parts between single spaces are encoded once and remembered. The parts of a few
+    texts that aren't known are encoded in one go and told apart by their lengths in bytes.
+    Texts with a special string or with other white space are encoded as they are.
     """
     import public_tokenizers
-    import tiktoken
+    import tokenizers
 
-    with open(public_tokenizers.path(vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-    lengths[list(ranks.values())] = [len(x) for x in ranks]
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    words = own.get_vocab(with_added_tokens=False)
+    lengths = np.zeros(max(words.values()) + 1, np.int64)
+    lengths[list(words.values())] = [len(x) for x in words]  # a character stands for a byte
+    odd = (*RUNS, *(x.content for x in own.get_added_tokens_decoder().values()))
     known: dict[str, bytes] = {}
 
-    def to_bytes(text: str) -> bytes:
-        return np.array(plain(text), "<u4").tobytes()
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    space = ids([" "])[0].tobytes()
 
     def learn(parts: list[str]) -> None:
-        if len(known) + len(parts) > CACHED:
+        got = ids([" " + " ".join(parts)])[0]
+        ends = np.searchsorted(np.cumsum(lengths[got]), np.cumsum([1 + len(x.encode()) for x in parts])) + 1
+        data, ends = got.tobytes(), (4 * ends).tolist()
+        known.update((x, data[s:e]) for x, s, e in zip(parts, [0, *ends], ends))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > CACHED:
             known.clear()
-        ids = np.array(plain(" " + " ".join(parts)), "<u4")
-        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([1 + len(x.encode("utf-8", "surrogatepass")) for x in parts])) + 1
-        data, start = ids.tobytes(), 0
-        for x, end in zip(parts, (4 * ends).tolist()):
-            known[x] = data[start:end]
-            start = end
-
-    def encode(text: str) -> bytes:
-        if any(x in text for x in RUNS) or RARE.search(text):
-            return to_bytes(text)
-        first, *rest = text.split(" ")
-        last = rest.pop() if rest and not rest[-1] else None
-        ids = list(map(known.get, rest))
-        if None in ids:
-            learn(list(dict.fromkeys(x for x, i in zip(rest, ids) if i is None)))
-            ids = [known[x] if i is None else i for x, i in zip(rest, ids)]
-        return to_bytes(first) + b"".join(ids) + (b"" if last is None else to_bytes(" "))
+        whole, rows, new = [], [], {}
+        for text in texts:
+            if any(x in text for x in odd) or RARE.search(text):
+                whole.append(text)
+                rows.append(None)
+                continue
+            first, *rest = text.split(" ")
+            whole.append(first)
+            tail = space if rest and not rest[-1] and rest.pop() == "" else b""
+            got = list(map(known.get, rest))
+            if None in got:
+                new.update((x, None) for x, i in zip(rest, got) if i is None)
+                got = None
+            rows.append((rest, got, tail))
+        if new:
+            learn(list(new))
+        out = []
+        for first, row in zip(ids(whole), rows):
+            rest, got, tail = row or ((), (), b"")
+            out.append(b"".join((first.tobytes(), *(map(known.__getitem__, rest) if got is None else got), tail)))
+        return out
 
     return encode
 
 
 class Packer:
-    """Online packing of one task's documents. A piece is (document, start, ids as bytes)."""
+    """Online packing of one task's documents. A piece is (document, start, ids as bytes, its document's ids)."""
 
-    def __init__(self, first: int, window: int = WINDOW):
-        self.window, self.next = window, first
-        self.count = np.zeros(window + 1)  # open windows by fill level
-        self.count[window] = -0.5  # filling a window up costs nothing
-        self.open: list[list[list]] = [[] for _ in range(window)]
+    def __init__(self, first: int, window: int = WINDOW, step: int = STEP):
+        self.window, self.step, self.next = window, step, first
+        self.count = np.zeros(-(-window // step) + 1)  # open windows by fill level; the last is that of gaps and stays empty
+        self.open: list[list[tuple[int, list]]] = [[] for _ in self.count]  # (fill, pieces) by level
+        self.fill = np.full(len(self.count), -1)  # of each level's last window; -1 where there is none
+        self.gap: tuple[int, list] | None = None
+        self.placed = 0  # ids in windows that the rule has completed
 
     def level(self, size: int) -> int:
         """The fill level, 0 for a new window, that a rest of this size goes to. Of equals the fullest."""
-        n = self.window - size
-        before, after = self.count[1 : n + 1], self.count[1 + size :]
-        change = np.where(before > 0, 2 * (after - before) + 2, np.inf)[::-1]
-        best = int(change.argmin()) if n else -1
-        return n - best if n and change[best] <= 2 * self.count[size] + 1 else 0
+        top = len(self.count) - 1
+        at = np.flatnonzero((self.fill >= 0) & (self.fill + size <= self.window))
+        to = -(-(self.fill[at] + size) // self.step)
+        after = np.where(to == top, 0.0, 2 * self.count[to] + 1)  # a window that is full, or nearly, is open no more
+        change = after - 2 * self.count[at] + 1 - 2 * (to == at)
+        new = -(-size // self.step)
+        fresh = 0.0 if new == top else 2 * self.count[new] + 1
+        if not len(at) or change.min() > fresh:
+            return 0
+        return int(at[len(at) - 1 - change[::-1].argmin()])
+
+    def push(self, fill: int, pieces: list) -> Iterator[tuple]:
+        """Keep a window open, or as the one that the next ids fill up, or close it."""
+        if fill == self.window:
+            self.placed += fill
+            yield from self.close(pieces)
+            return
+        at = -(-fill // self.step)
+        if at == len(self.count) - 1 and self.gap is None:
+            self.gap = fill, pieces
+            return
+        self.count[at] += 1
+        self.open[at].append((fill, pieces))
+        self.fill[at] = fill
+
+    def pop(self, at: int) -> tuple[int, list]:
+        fill, pieces = self.open[at].pop()
+        self.count[at] -= 1
+        self.fill[at] = self.open[at][-1][0] if self.open[at] else -1
+        return fill, pieces
 
     def add(self, doc, ids: bytes) -> Iterator[tuple]:
         """Rows of the sequences that this document completes."""
-        size = len(ids) // 4
-        whole = size - size % self.window
-        for start in range(0, whole, self.window):
-            yield from self.close([(doc, start, ids[4 * start : 4 * (start + self.window)], size)])
-        if rest := size - whole:
+        size, start = len(ids) // 4, 0
+        if self.gap:
+            (fill, pieces), self.gap = self.gap, None
+            start = min(size, self.window - fill)
+            yield from self.push(fill + start, [*pieces, (doc, 0, ids[: 4 * start], size)])
+        while size - start >= self.window:
+            yield from self.push(self.window, [(doc, start, ids[4 * start : 4 * (start + self.window)], size)])
+            start += self.window
+        if rest := size - start:
             at = self.level(rest)
-            pieces = self.open[at].pop() if at else []
-            pieces.append((doc, whole, ids[4 * whole :], size))
-            if at:
-                self.count[at] -= 1
-            if at + rest == self.window:
-                yield from self.close(pieces)
-            else:
-                self.count[at + rest] += 1
-                self.open[at + rest].append(pieces)
+            fill, pieces = self.pop(at) if at else (0, [])
+            yield from self.push(fill + rest, [*pieces, (doc, start, ids[4 * start :], size)])
 
     def close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -127,12 +167,11 @@ class Packer:
     def finish(self) -> Iterator[tuple]:
         """Rows of the open windows, cut anew where they would need padding."""
         left: list[tuple] = []
-        for fill in range(self.window - 1, 0, -1):
-            for pieces in self.open[fill]:
-                if fill & (fill - 1) == 0:
-                    yield from self.close(pieces)
-                else:
-                    left += pieces
+        for fill, pieces in [x for windows in reversed(self.open) for x in windows] + [self.gap] * bool(self.gap):
+            if fill & (fill - 1) == 0:
+                yield from self.close(pieces)
+            else:
+                left += pieces
         total = sum(len(p[2]) for p in left) // 4
         lengths = [self.window] * (total // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if (total % self.window) >> b & 1]
         left.reverse()
@@ -164,8 +203,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) ->
         for b in batches:
             schema = schema or pa.schema([b.schema.field("doc_id"), *arrow_schema(SCHEMA.replace(", ", ","))])
             rows: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                rows += packer.add(doc, encode(text or "") + end)
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()])):
+                rows += packer.add(doc, ids + end)
             yield batch(rows, schema)
         if schema:
             yield batch(list(packer.finish()), schema)
