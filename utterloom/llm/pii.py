@@ -3,7 +3,7 @@
 Four fixed patterns always count. Beside them, generators with high recall propose
 overlapping spans: e-mail addresses spelled out or spaced, telephone numbers without a
 plus, IPv6 addresses, card numbers with unusual separators, bank account and social
-security numbers. Boosted trees score each candidate by its format and its context, the
+security numbers, and long runs of letters and digits that may be keys. Boosted trees score each candidate by its format and its context, the
 scores are calibrated on a held-out part, each kind has the lowest threshold that keeps
 the wanted precision there, and of overlapping candidates the likeliest stays.
 
@@ -14,6 +14,7 @@ sample has EXAMPLES rows; the model is a few kilobytes.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -27,18 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utterloom.llm.base import arrow_schema, batch, table, text_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")  # in the order of spans with one start
-EXAMPLES, SEED, PRECISION = 6000, 11, 0.99
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")  # in the order of spans with one start
+EXAMPLES, SEED, PRECISION = 8000, 11, 0.99
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 NEAR = 32  # characters of context on either side
-RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, personal boolean"
 
 # ---- fixed patterns ---------------------------------------------------------
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -67,10 +68,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of four numbers with dots between, all at most 255, in time linear in the text: dotted runs, four parts at a time."""
+    for m in DOTTED.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            own = parts[i : i + 4]
+            end = at + sum(map(len, own)) + 3
+            if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in own):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns' matches, by start and kind."""
     out = [(s, e, "email") for s, e in emails(text)]
-    out += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    out += [(s, e, "ip") for s, e in ips(text)]
     for m in CARD.finditer(text):
         number = digits(m.group())
         if 12 <= len(number) <= 19 and luhn(number):
@@ -93,6 +106,7 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:00|\+)?[0-9]{9,13}(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{16,256}={0,2}(?![0-9A-Za-z_+/-])")),
 )
 #: Words that speak for a kind, and words that speak against all; in the context, in lower case.
 CUES = (
@@ -102,7 +116,8 @@ CUES = (
     ("phone", ("tel", "phone", "call", "mobile", "cell", "fax", "sms", "whatsapp", "handy", "anruf", "appel", "llam", "contact")),
     ("iban", ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer", "bic")),
     ("ssn", ("ssn", "social", "security", "insurance", "taxpayer", "tax id")),
-    ("none", ("isbn", "version", "order", "invoice", "page", "total", "price", "sku", "ref", "serial", "build", "date", "born in", "since", "section", "chapter", "score", "room", "seite", "article", "$", "€", "£", "%", "=")),
+    ("secret", ("token", "secret", "passw", "pwd", "key", "bearer", "credential", "auth", "clave", "schl", "jeton")),
+    ("none", ("isbn", "commit", "sha", "md5", "checksum", "hash", "http", "uuid", "digest", "version", "order", "invoice", "page", "total", "price", "sku", "ref", "serial", "build", "date", "born in", "since", "section", "chapter", "score", "room", "seite", "article", "$", "€", "£", "%", "=")),
 )
 
 
@@ -128,11 +143,17 @@ def spelled(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def mixed(s: str) -> bool:
+    """Whether a run has both letters and digits, and enough of either to be a key."""
+    number = len(digits(s))
+    return number >= 3 and sum(c.isalpha() for c in s) >= 3
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that a generator proposes, of all kinds, overlapping ones too."""
     out = [(*x, "email") for x in spelled(text)]
     if any(c in text for c in "0123456789"):
-        out += [(*m.span(), kind) for kind, pattern in GENERATORS[1:] for m in pattern.finditer(text)]
+        out += [(*m.span(), kind) for kind, pattern in GENERATORS[1:] for m in pattern.finditer(text) if kind != "secret" or mixed(m.group())]
     return out
 
 
@@ -158,7 +179,7 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
         float(KINDS.index(kind)), len(s), len(number), len(groups), groups[0], groups[-1], max(groups), min(groups), len(marks), entropy,
         sum(c.isupper() for c in s), sum(c.isalpha() for c in s), float(s.startswith(("+", "00", "0"))), float("(" in s), float("/" in s), float("." in s), float(":" in s), float("-" in s),
         float(len(number) >= 12 and luhn(number)), float(kind == "iban" and iban_rest(s) == 1), float(kind == "email" and bool(re.search(r"(?:\.|dot\W{0,2})\s?[a-z]{2,6}$", s, re.I))),
-        year, len(set(number)), float(last.isdigit() or last in ".,-/#$€£:="), float(after[:1] in "%°$€£/" and bool(after)), own, *cues,
+        sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:])) / len(s), float(before.rstrip(" \"'")[-1:] in (":", "=")), len(number) / len(s), year, len(set(number)), float(last.isdigit() or last in ".,-/#$€£:="), float(after[:1] in "%°$€£/" and bool(after)), own, *cues,
     ]
 
 
@@ -229,6 +250,7 @@ def example(rng: random.Random) -> tuple[str, str, int, int, bool]:
     """(text, kind or empty, start, end, whether it is personal data)."""
     pick, n = rng.choice, lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(pick(("an", "the", "ou", "ti", "er", "en", "re", "sh", "ion", "ble", "de", "la", "que", "ver", "ch", "ung")) for _ in range(rng.randint(1, 4)))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
     true = rng.random() < 0.5
     kind = pick(KINDS)
     sep = pick((" ", "-", ".", "/"))
@@ -258,6 +280,9 @@ def example(rng: random.Random) -> tuple[str, str, int, int, bool]:
             body = body[:size]
             s = f"{land}{98 - iban_rest(land + '00' + body) :02d}{body}"
             s = pick((s, " ".join(s[i : i + 4] for i in range(0, len(s), 4))))
+        elif kind == "secret":
+            body = pick(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+            s = pick(("", "", "", "sk_live_", "ghp_", "AKIA", "xoxb-")) + "".join(pick(body) for _ in range(rng.randint(20, 64)))
         else:
             s = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
         cue = pick([w for k, words in CUES if k == kind for w in words] + [word()])
@@ -267,11 +292,15 @@ def example(rng: random.Random) -> tuple[str, str, int, int, bool]:
             f"{rng.randint(1, 28):02d}{sep}{rng.randint(1, 12):02d}{sep}{year}", f"{year}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{year}-{int(year) + 5}", f"{n(2)}:{n(2)}:{n(2)}", f"{n(1)}.{n(2)}.{n(3)}",
             f"{n(2)}.{n(3)}.{n(3)}", f"{n(9)}", f"{n(12)}", f"{n(10)}", f"{n(16)}", f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"{n(3)} {n(3)} {n(3)}", f"{n(2)}-{n(2)}", f"{n(4)} {n(4)} {n(4)} {n(4)}", f"{n(3)} {n(2)} {n(4)}",
             f"{n(4)}/{n(2)}", f"{n(2)}.{n(2)}", f"{n(5)}-{n(4)}", f"{word()} at {word()}.{word()}", f"{word()} at {word()}. {word()}", f"ab:cd:{n(2)}", f"{''.join(pick('ABCDEFGH0123') for _ in range(16))}", f"XX{n(2)} {n(4)} {n(4)} {n(3)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}.{n(3)}",
+            word() + "-" + word() + "-" + word() + "-" + n(4), word() + "_" + word() + n(3) + "_" + word(), f"{word()}/{n(4)}/{n(2)}/{word()}-{word()}", word() * 3 + n(3), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", hexes(40),
         ))
         cue = pick([*CUES[-1][1], *[word() for _ in range(20)]])
+        if re.fullmatch("[0-9a-f]{40}", s):
+            cue = pick(("commit", "sha", "checksum", "hash", "digest"))
     left = " ".join(word() for _ in range(rng.randint(0, 6)))
-    lead = f"{left} {cue}" + pick((" ", ": ", " is ", " ", " "))
-    lead = lead if rng.random() < 0.7 else left + " "
+    hard = true and kind == "secret" or not true and re.fullmatch("[0-9a-f]{40}", s)  # told by the cue alone
+    lead = f"{left} {cue}" + pick((" ", ": ", " is ", " ", " ") if not hard else (" = ", ": ", "=", " ", ' = "', ": '"))
+    lead = lead if hard or rng.random() < 0.7 else left + " "
     return lead + s + pick((" ", ". ", ", ", "\n", "")) + " ".join(word() for _ in range(rng.randint(0, 5))), kind if true else "", len(lead), len(lead) + len(s), true
 
 
@@ -302,20 +331,43 @@ def model(examples: int = EXAMPLES, seed: int = SEED) -> tuple[Boosted, tuple[fl
     return trees, (a, b), limits
 
 
+class Taken:
+    """Disjoint stretches of a text, in order; asked and added to by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for s, e, _ in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i == len(self.starts) or self.starts[i] >= end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_right(self.ends, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def found(text: str, judge: tuple) -> tuple[list, list]:
     """Base spans, and all spans: base ones and chosen candidates that overlap neither them nor each other."""
     base = base_spans(text)
     trees, (a, b), limits = judge
-    taken = [(s, e) for s, e, _ in base]
-    free = [c for c in candidates(text) if all(c[1] <= s or c[0] >= e for s, e in taken)] if taken else candidates(text)
+    taken = Taken(base)
+    free = [c for c in candidates(text) if taken.free(c[0], c[1])]
     if not free:
         return base, base
     p = 1 / (1 + np.exp(-(a * trees.margin(np.array([features(text, c) for c in free])) + b)))
     chosen: list[tuple[int, int, str]] = []
     for i in np.argsort(-p, kind="stable"):
         c = free[i]
-        if p[i] >= limits[c[2]] and all(c[1] <= s or c[0] >= e for s, e, _ in chosen):
+        if p[i] >= limits[c[2]] and taken.free(c[0], c[1]):
             chosen.append(c)
+            taken.add(c[0], c[1])
     return base, sorted(base + chosen, key=order)
 
 
@@ -334,7 +386,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """doc_id, counts of the fixed patterns, their digest and all spans; with redact also the redacted text.
+    """doc_id, counts of the fixed patterns, their digest, all spans, their number and whether there are any; with redact also the redacted text.
 
     Positions are code points, ends exclusive. Null texts are empty and have no spans;
     repeated rows are judged alike. No rows give no rows.
@@ -349,7 +401,7 @@ def find(docs: DataFrame, redact: bool = False) -> DataFrame:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 base, spans = found(text or "", judge)
                 counts = [sum(k == x for _, _, x in base) for k in KINDS[:4]]
-                rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), *([redacted(text or "", spans)] * redact)))
+                rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans), bool(spans), *([redacted(text or "", spans)] * redact)))
             yield batch(rows, pa.schema([b.schema.field("doc_id"), *arrow_schema(result.replace(", ", ","))]))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {result}")
