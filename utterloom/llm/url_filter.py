@@ -75,20 +75,29 @@ class DigestArray:
         return found
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every rule that would fit: host suffixes at label borders times path prefixes."""
-    if not host:
-        return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
-    return [s + path[:n] for s in suffixes for n in lengths if n <= len(path)]
+class Shape:
+    """What of a URL can match a list: the label counts of its rules' hosts and the lengths of their paths."""
 
+    def __init__(self, rules: Iterable[str]):
+        hosts = [(r[: r.index("/")], len(r) - r.index("/")) for r in rules]
+        self.labels = max((h.count(".") + 1 for h, _ in hosts), default=0)
+        self.lengths = sorted({n for _, n in hosts})
 
-def judge(hosts: list[str], paths: list[str], digests: DigestArray, lengths: list[int], default: str) -> list[tuple[str | None, str]]:
+    def candidates(self, host: str, path: str) -> list[str]:
+        """Every rule that would fit: the host's last labels, as many as a rule has at most, times path prefixes."""
+        if not host:
+            return []
+        last = host.rsplit(".", self.labels)[-self.labels :] if self.labels else []
+        suffixes = [host] if host.count(".") < self.labels else []
+        suffixes += [".".join(last[i:]) for i in range(len(last))]
+        return [s + path[:n] for s in dict.fromkeys(suffixes) for n in self.lengths if n <= len(path)]
+
+
+def judge(hosts: list[str], paths: list[str], digests: DigestArray, shape: Shape, default: str) -> list[tuple[str | None, str]]:
     """Rule (or null) and verdict of each URL. The longest rule wins; then listed labels; then the default."""
     texts, owner = [], []
     for i, (h, p) in enumerate(zip(hosts, paths)):
-        own = candidates(h, p, lengths) + [f"label:{x}" for x in h.split(".")]
+        own = shape.candidates(h, p) + [f"label:{x}" for x in h.split(".")]
         texts += own
         owner += [i] * len(own)
     best: list[tuple[str | None, str]] = [(None, default)] * len(hosts)
@@ -103,6 +112,18 @@ def judge(hosts: list[str], paths: list[str], digests: DigestArray, lengths: lis
     return best
 
 
+def read_list(spark: SparkSession, path: str, bound: int = 10_000_000) -> list[tuple[str, str]]:
+    """(rule, verdict) of a list in text files: a verdict, block or allow, a space, and host/path in each line; other lines are comments.
+
+    The driver holds the list and refuses more than bound rules.
+    """
+    line = F.regexp_extract("value", r"^(?:block|allow) ([^/\s]+/\S*)$", 1)
+    rows = spark.read.text(path).select(line.alias("rule"), F.substring("value", 1, 5).alias("verdict")).where("rule <> ''").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"the list has more than {bound} rules")
+    return [(r.rule, r.verdict) for r in rows]
+
+
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
     """df with host and path; both empty for a null url or one without "://"."""
     after = F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")
@@ -121,7 +142,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels=BLOCKED_LABELS, default: s
     """
     spark = pages.sparkSession
     entries = {**dict(rules), **{f"label:{x}": "block" for x in labels}}
-    lengths = sorted({len(r) - r.index("/") for r, _ in rules})
+    shape = Shape(r for r, _ in rules)
     at = scratch(spark, "urls")
     put(spark, at, DigestArray.pack(entries.items()))
     spark.sparkContext.addFile(at)  # each executor gets a copy to map
@@ -130,7 +151,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels=BLOCKED_LABELS, default: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = DigestArray(SparkFiles.get(name))
         for b in batches:
-            got = judge(b.column("host").to_pylist(), b.column("path").to_pylist(), digests, lengths, default)
+            got = judge(b.column("host").to_pylist(), b.column("path").to_pylist(), digests, shape, default)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in got], pa.string()), pa.array([v for _, v in got], pa.string())], names=[*b.schema.names, "rule", "verdict"])
 
     parts = split_url(pages.select("page_id", "url")).select("page_id", "host", "path")
