@@ -8,8 +8,8 @@ one shift of position mark shared spans.
 
 A fingerprint lists all anchors in order of position, as 32 bits of hash and 32 bits of
 position each, in hex; it grows with the text. The likeness of two fingerprints is the
-share of common hashes among the distinct ones of both, and their marks also tell where
-the common spans are.
+share of common hashes among the distinct ones of both, and their positions tell where
+the common spans are, which the result lists.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from utterloom.llm.base import arrow_schema, batch, partitions, table, text_batc
 
 K, S = 24, 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_spans string, next_spans string"
 LOWEST = -(2**63)
 
 
@@ -131,6 +131,11 @@ def matches(a: np.ndarray, b: np.ndarray, k: int = K) -> list[tuple[int, int, in
     return spans(*(((x & low).astype(np.int64), x >> np.uint64(32)) for x in (a, b)), k)
 
 
+def listed(found: list[tuple[int, int, int]]) -> str:
+    """Spans as start:start:length, comma-joined."""
+    return ",".join(f"{p}:{q}:{n}" for p, q, n in found)
+
+
 def shared_spans(a: str, b: str, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
     """The common spans of two texts."""
     return spans(anchors(a, k, s), anchors(b, k, s), k)
@@ -153,7 +158,7 @@ class Marked:
         at, tail = anchors(edited[cut:])
         marks = marked(np.concatenate([self.at[old], at + cut]), np.concatenate([self.hashes[old], tail]), edited)
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return self.doc, n, sha, to_text(self.marks), to_text(marks), likeness(self.marks, marks), likeness(self.marks, after.marks)
+        return self.doc, n, sha, to_text(self.marks), to_text(marks), likeness(self.marks, marks), likeness(self.marks, after.marks), listed(matches(self.marks, marks)), listed(matches(self.marks, after.marks))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,18 +175,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind, parts = dict(docs.dtypes)["doc_id"], partitions(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"))
     cuts = sorted(set(rows.select("key").stat.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c > F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    cuts = np.array([int(c) for c in cuts], np.int64)
+
+    @F.arrow_udf("int")
+    def bucket_of(key: pa.Array) -> pa.Array:  # by descending key
+        return pa.array(len(cuts) - np.searchsorted(cuts, key.to_numpy(zero_copy_only=False), "right"), pa.int32())
+
+    rows = rows.withColumn("bucket", bucket_of("key"))
     heads = {r.bucket: r.key for r in rows.groupBy("bucket").agg(F.max("key").alias("key")).collect()}  # a row for each bucket
-    order = sorted(heads)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    own = F.struct("bucket", F.lit(False).alias("copy"))
-    if before:
-        to = F.element_at(F.array(*[F.lit(b) for b in before.values()]), F.array_position(F.array(*[F.lit(k) for k in before]), F.col("key")).cast("int"))
-        places = F.when(F.col("key").isin(list(before)), F.array(own, F.struct(to.alias("bucket"), F.lit(True).alias("copy")))).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    dealt = rows.select("doc_id", "text", "key", F.explode(places).alias("at")).select("doc_id", "text", "key", "at.*")
+    order = sorted(heads, reverse=True)
+    first = np.array([heads[b] for b in order], np.int64)  # ascending, as buckets descend by key
+    before = np.array([order[(i + 1) % len(order)] for i in range(len(order))], np.int64)
+
+    @F.arrow_udf("int")
+    def copy_to(key: pa.Array) -> pa.Array:  # the bucket before, for the keys that a bucket begins with
+        key = key.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(first, key), max(len(first) - 1, 0))
+        return pa.array(before[at] if len(first) else key, pa.int32(), mask=first[at] != key if len(first) else np.ones(len(key), bool))
+
+    places = F.array(F.struct("bucket", F.lit(False).alias("copy")), F.struct(copy_to("key").alias("bucket"), F.lit(True).alias("copy")))
+    dealt = rows.select("doc_id", "text", "key", F.explode(places).alias("at")).select("doc_id", "text", "key", "at.*").where("bucket is not null")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "copy", F.desc("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
