@@ -10,7 +10,7 @@ payloads say so too, but their chains are not those of the file: a task follows
 inside its split and gives each candidate the place where its chain leaves the split, the
 places between splits are followed from the start of the file by pointer jumping, in
 rounds that grow with the logarithm of a file's number of splits, and only what the file's
-start reaches is a record. A payload with candidates in it spans several pieces; the
+start reaches is a record. Files are plain, of version 1.0. A payload with candidates in it spans several pieces; the
 pieces of such records are read again and put together.
 """
 
@@ -103,19 +103,27 @@ def parse(piece: bytes) -> tuple:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """A record for each page under path. Payloads travel compressed; a hot payload's rows are split by the skew join."""
+    """A record for each page under path.
+
+    Payloads travel compressed, and only those of pages that may be a group's response, told
+    by a filter of ids; rows of a hot payload are light and split by the skew join.
+    """
     text_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     html = F.coalesce("html", F.lit(""))
     groups = cut(pages.select(F.unhex(F.sha1(html)).alias("digest"), F.col("page_id").cast("long")).groupBy("digest").agg(F.max("page_id").alias("refers_to")))
 
+    bits = bits_of(groups, F.col("refers_to"))
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             own = [x.encode("utf-8", "surrogatepass") for x in b.column("html").to_pylist()]
-            more = [pa.array([hashlib.sha1(x).digest() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([squeeze(x) for x in own], pa.binary())]
+            ids = b.column("page_id").cast(pa.int64())
+            may = passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            more = [pa.array([hashlib.sha1(x).digest() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([squeeze(x) if m else None for x, m in zip(own, may)], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *more], names=["page_id", "url", "digest", "size", "payload"])
 
     small = pages.select("page_id", "url", html.alias("html")).mapInArrow(shrink, f"page_id {kind}, url string, digest binary, size long, payload binary")
