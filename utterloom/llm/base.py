@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space that str.split and bytes.split treat alike and that bounds a word.
 MASK64 = (1 << 64) - 1
+ROW_GROUP = 8 << 20  # bytes
+#: Spark's setting that shuffle files go with the query that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    It is the cluster's spark.checkpoint.dir; only a session without one (tests)
-    gets a temporary folder of its own, and then it is the same for every caller.
+    Only a session without that setting whose driver is its only executor (tests) gets a
+    temporary folder, the same for every caller; on a cluster the setting is required.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="utterloom-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint: survives lost executors and is computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df from a table in the shared folder: computed once, survives lost executors; free() deletes it.
+
+    The table is compressed, in row groups small enough to be read by tasks of their own,
+    and the write's shuffle files go as soon as it is done.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "cut")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the tables of cut() that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df._written)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver forget frames that are gone, so that Spark deletes their shuffle files now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -8,12 +8,11 @@ the order of a seeded hash, up to a cut. The cut is found by a radix descent ove
 hash digits, so that no source's documents are ever sorted or gathered, and a few more
 documents, each the one whose size fits best, close what the cut leaves open.
 
-The driver sees one row for each pattern and 4096 sums at most for each at a time.
+The driver sees one row for each pattern, and refuses more than PATTERNS of them.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections import defaultdict
 from collections.abc import Sequence
@@ -22,10 +21,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import constant, cut, n_words, table
+from utterloom.llm.base import constant, cut, free, n_words, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), Fraction(3, 2), 2, 20_240_229
 BITS, LEVELS = 12, 3  # digits of the descent; 48 bits of the hash are used in all
+PATTERNS = 1_000_000  # membership patterns that the driver plans for
 CLOSING = 4  # documents at most that close what a cut leaves open
 
 
@@ -42,53 +42,99 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = WEIGHTS, shar
     return out
 
 
+class Flow:
+    """A flow from patterns through their sources to the sources' quotas, grown by blocking flows."""
+
+    def __init__(self, sources: list[list[int]], quotas: list[int]):
+        self.sources, self.need, self.room = sources, quotas, [0] * len(sources)
+        self.users: list[list[int]] = [[] for _ in quotas]
+        for p, own in enumerate(sources):
+            for s in own:
+                self.users[s].append(p)
+        self.flow = [dict.fromkeys(own, 0) for own in sources]
+
+    def layers(self) -> bool:
+        """Number patterns and sources by the steps from a pattern with room, up to the nearest sources that need words; whether there are any."""
+        self.p_step, self.s_step = [0 if r else -1 for r in self.room], [-1] * len(self.need)
+        now, step, met = [p for p, r in enumerate(self.room) if r], 0, False
+        while now and not met:
+            after = []
+            for p in now:
+                for s in self.sources[p]:
+                    if self.s_step[s] < 0:
+                        self.s_step[s] = step
+                        met = met or self.need[s] > 0
+                        after.append(s)
+            step, now = step + 1, []
+            for s in () if met else after:
+                for p in self.users[s]:
+                    if self.p_step[p] < 0 and self.flow[p][s]:
+                        self.p_step[p] = step
+                        now.append(p)
+        self.p_next, self.s_next = [0] * len(self.sources), [0] * len(self.need)
+        return met
+
+    def path(self, first: int) -> list[int]:
+        """Pattern, source, pattern, ... to a source that needs words, one step a time; empty if there is none left."""
+        way = [first]
+        while way:
+            if len(way) % 2:  # at a pattern
+                p, s = way[-1], -1
+                while self.p_next[p] < len(self.sources[p]) and s < 0:
+                    s = self.sources[p][self.p_next[p]]
+                    s = s if self.s_step[s] == self.p_step[p] else -1
+                    self.p_next[p] += s < 0
+                if s >= 0:
+                    way.append(s)
+                    if self.need[s]:
+                        return way
+                    continue
+                way.pop()
+                if way:
+                    self.s_next[way[-1]] += 1
+            else:
+                s, p = way[-1], -1
+                while self.s_next[s] < len(self.users[s]) and p < 0:
+                    p = self.users[s][self.s_next[s]]
+                    p = p if self.p_step[p] == self.s_step[s] + 1 and self.flow[p][s] else -1
+                    self.s_next[s] += p < 0
+                if p >= 0:
+                    way.append(p)
+                    continue
+                way.pop()
+                self.p_next[way[-1]] += 1
+        return []
+
+    def fill(self) -> None:
+        """Raise the flow to the largest that the rooms allow."""
+        while self.layers():
+            for first in [p for p, r in enumerate(self.room) if r]:
+                while self.room[first] and (way := self.path(first)):
+                    back = list(zip(way[2::2], way[1::2]))  # patterns that give way to the one before
+                    n = min(self.room[first], self.need[way[-1]], *(self.flow[p][s] for p, s in back))
+                    for p, s in zip(way[::2], way[1::2]):
+                        self.flow[p][s] += n
+                    for p, s in back:
+                        self.flow[p][s] -= n
+                    self.room[first] -= n
+                    self.need[way[-1]] -= n
+
+
 def min_cost_flow(patterns: dict[str, tuple[tuple, int]], quotas: dict, most: int = MOST) -> dict[str, dict]:
     """Words routed from each pattern (its sources, its words) to each source; the largest flow of least cost.
 
-    Successive shortest paths: the n-th repetition of a pattern costs 2n-1 a word, so
-    the flow repeats words only where quotas can't be met by fresh ones.
+    The n-th repetition of a pattern costs 2n - 1 a word. An augmenting path costs what the
+    repetition that it starts with does, since on its way other patterns only change their
+    sources; so the rooms of the first repetitions are used up, by blocking flows, before
+    those of the second open, and words are repeated only where fresh ones can't do.
     """
-    nodes = {x: i for i, x in enumerate([("from",), ("to",), *(("p", p) for p in sorted(patterns)), *(("s", s) for s in sorted(quotas, key=lambda s: (s is None, s or "")))])}
-    graph: list[list[list]] = [[] for _ in nodes]  # to, room, cost, index of the reverse arc
-
-    def arc(a: tuple, b: tuple, room: int, cost: int) -> None:
-        i, j = nodes[a], nodes[b]
-        graph[i].append([j, room, cost, len(graph[j])])
-        graph[j].append([i, 0, -cost, len(graph[i]) - 1])
-
-    for p, (sources, words) in sorted(patterns.items()):
-        for n in range(most):
-            arc(("from",), ("p", p), words, 2 * n + 1)
-        for s in sources:
-            arc(("p", p), ("s", s), most * words, 0)
-    for s, quota in quotas.items():
-        arc(("s", s), ("to",), quota, 0)
-    height = [0] * len(nodes)
-    while True:
-        far, via, heap = [float("inf")] * len(nodes), {}, [(0, 0)]
-        far[0] = 0
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > far[i]:
-                continue
-            for k, (j, room, cost, _) in enumerate(graph[i]):
-                if room and (step := d + cost + height[i] - height[j]) < far[j]:
-                    far[j], via[j] = step, (i, k)
-                    heapq.heappush(heap, (step, j))
-        if far[1] == float("inf"):
-            break
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far)]
-        path, j = [], 1
-        while j:
-            i, k = via[j]
-            path.append(graph[i][k])
-            j = i
-        flow = min(a[1] for a in path)
-        for a in path:
-            a[1] -= flow
-            graph[a[0]][a[3]][1] += flow
-    name = {i: x for x, i in nodes.items()}
-    return {p: {name[j][1]: most * words - room for j, room, cost, _ in graph[nodes["p", p]] if name[j][0] == "s"} for p, (_, words) in patterns.items()}
+    order, names = sorted(patterns), sorted(quotas, key=lambda s: (s is None, s or ""))
+    number = {s: i for i, s in enumerate(names)}
+    flow = Flow([[number[s] for s in patterns[p][0]] for p in order], [quotas[s] for s in names])
+    for _ in range(most):
+        flow.room = [r + patterns[p][1] for r, p in zip(flow.room, order)]
+        flow.fill()
+    return {p: {names[s]: n for s, n in own.items()} for p, own in zip(order, flow.flow)}
 
 
 def order_key(doc: str, text: str, seed: int) -> Column:
@@ -108,7 +154,10 @@ def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = S
     returns one row for each pattern.
     """
     spark = sized.sparkSession
-    words = {r.pattern: int(r.words) for r in sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
+    got = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
+    if len(got) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns; group the sources first")
+    words = {r.pattern: int(r.words) for r in got}
     patterns = {p: (tuple(json.loads(p)), n) for p, n in words.items()}
     sizes: dict[str | None, int] = defaultdict(int)
     for sources, n in patterns.values():
@@ -156,12 +205,19 @@ def sized(docs: DataFrame, sources: Column, seed: int = SEED) -> DataFrame:
     return docs.select("doc_id", n_words(F.col("text")).alias("size"), pattern_key(sources).alias("pattern"), order_key("doc_id", "text", seed).alias("u"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """The documents that the mix takes, a row for each time it takes them; same columns as docs."""
-    own = cut(sized(docs, F.array("source"), seed))
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED, sources: Column | None = None) -> DataFrame:
+    """The documents that the mix takes, a row for each time it takes them; same columns as docs.
+
+    sources is an array of the sources that a document belongs to; the column source alone
+    unless given. Documents of no source aren't taken. Null texts have no words; null
+    sources are a source of their own. No rows give no rows.
+    """
+    sources = F.array("source") if sources is None else sources
+    own = cut(sized(docs, sources, seed))
     made, _ = plan(own, weights)
+    free(own)
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*keep).alias("_row"), pattern_key(F.array("source")).alias("pattern"), order_key("doc_id", "text", seed).alias("u"))
+    rows = docs.select(F.struct(*keep).alias("_row"), pattern_key(sources).alias("pattern"), order_key("doc_id", "text", seed).alias("u"))
     rows = rows.join(made, "pattern").withColumn("_n", copies()).where("_n > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
 
