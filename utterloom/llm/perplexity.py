@@ -10,14 +10,16 @@ and back-off weights beside them, in one file that executors map and search by b
 A model keeps every n-gram and context, so its file grows with the distinct n-grams of the
 corpus. Spark sorts the entries; the driver only writes them out, a partition at a time.
 
-A text's log perplexity is the mean over all its characters, so that every part of it
-counts by its length. A text passes if it lies in its language's band: the quartiles over all texts that pass the base
-rules, widened by a multiple of their distance.
+A text has two perplexities: by its characters and by its words that hold a letter or a
+digit. In the second, characters that are no word's cost without counting, so texts full
+of signs score high that the first, where signs become likely with their number, lets
+pass. A text passes if both lie in its language's bands: the quartiles over all texts that
+pass the base rules, widened by a multiple of their distance.
 """
 
 from __future__ import annotations
 
-import atexit
+import functools
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -28,19 +30,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, partitions, portions, put, scratch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, collect_garbage, cut, free, partitions, portions, put, scratch, table, text_batches
 from utterloom.llm.syncmers import mix
 
 ORDER = 5
 HELD = 1 << 16  # entries of a model that go to the driver in one row
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated 3-word windows
 FENCE, LEAST_WIDTH = 3.0, 0.02  # multiples of the quartiles' distance, and the least that it counts as
+SCORES, LIMITS = ("log_perplexity", "word_perplexity"), (("low", "high"), ("word_low", "word_high"))
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 START, BITS, MASK = 2, 21, (1 << 21) - 1  # START pads a text's beginning; BITS of a code point
 CHARS = 1 << 19  # characters of texts that a task's arrays hold at a time; a longer text is alone
 DENSE = 12  # bits of a code point's number among those of a chunk
 COUNTS = "lang string, a long, b long, n long"
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, word_perplexity double"
 
 
 # ---- base rules -------------------------------------------------------------
@@ -145,16 +148,17 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, COUNTS).groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def levels(counts: DataFrame) -> DataFrame:
-    """lang, m, a, b, n for each order m: n is the count at the highest order and else the number of distinct characters before. Lower orders are checkpointed one by one."""
-    out, below = counts.select("lang", F.lit(ORDER).alias("m"), "a", "b", "n"), counts
+def levels(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Tables of lang, m, a, b, n: the counts of the highest order; and for each lower order m, from the highest, the number of distinct characters before."""
+    whole = below = cut(ngram_counts(docs).select("lang", F.lit(ORDER).alias("m"), "a", "b", "n"))
+    lower = []
     for m in range(ORDER - 1, 0, -1):
         drop = ORDER - m
         a = F.col("a").bitwiseAND((1 << BITS * max(0, 3 - drop)) - 1)
         b = F.col("b") if drop <= 3 else F.col("b").bitwiseAND(MASK)
-        below = cut(below.select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n")))
-        out = out.unionByName(below.select("lang", F.lit(m).alias("m"), "a", "b", "n"))
-    return out
+        below = cut(below.select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n")).select("lang", F.lit(m).alias("m"), "a", "b", "n"))
+        lower.append(below)
+    return whole, lower
 
 
 # ---- the model --------------------------------------------------------------
@@ -182,56 +186,69 @@ def discounts(t: list[int]) -> tuple[float, float, float]:
 
 
 class Model:
-    """One language's sorted arrays: by order, keys with log probabilities and context keys with log back-off weights."""
+    """One language's sorted arrays: by order m, the m-grams' keys, log probabilities and, below the highest order, the log back-off weights of those that are contexts."""
 
     def __init__(self, data: np.ndarray):
-        self.head = data[: 8 * (2 * ORDER + 1)].view(np.int64)
-        self.floor = float(self.head[-1:].view(np.float64)[0])
-        at, self.arrays = 8 * (2 * ORDER + 1), []
-        for n in self.head[:-1]:
-            n = int(n)
-            keys, values = data[at : at + 8 * n].view(np.uint64), data[at + 8 * n : at + 16 * n].view(np.float64)
-            self.arrays.append((keys, values))
-            at += 16 * n
-
-    @staticmethod
-    def look(arrays: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, values = arrays
+        at = 8 * (ORDER + 2)
+        sizes, (self.floor, self.empty) = data[: 8 * ORDER].view(np.int64), data[8 * ORDER : at].view(np.float64).tolist()
+        self.arrays = []
+        for m, n in enumerate(sizes.tolist(), 1):
+            own, at = [data[at : at + 8 * n].view(np.uint64)], at + 8 * n
+            for _ in range(2 if m < ORDER else 1):
+                own.append(data[at : at + 4 * n].view(np.float32))
+                at += 4 * (n + n % 2)  # what follows starts at a multiple of 8
+            self.arrays.append(own)
+
+    def look(self, a: np.ndarray, b: np.ndarray, m: int, what: int) -> np.ndarray:
+        """Log probabilities (what = 1) or log back-off weights (2) of m-grams; not a number where there is none."""
+        known, values = self.arrays[m - 1][0], self.arrays[m - 1][what]
         if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
+            return np.full(len(a), np.nan)
+        keys = hashed(a, b, m)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return known[at] == keys, values[at]
+        return np.where(known[at] == keys, values[at], np.nan)
 
     def log_probability(self, a: np.ndarray, b: np.ndarray, m: int = ORDER) -> np.ndarray:
         """Natural logarithm of p(last character | the m - 1 before)."""
         out, back, left = np.empty(len(a)), np.zeros(len(a)), np.arange(len(a))
         while m and len(left):
-            found, value = self.look(self.arrays[2 * m - 2], hashed(a[left], b[left], m))
+            value = self.look(a[left], b[left], m, 1)
+            found = ~np.isnan(value)
             out[left[found]] = back[left[found]] + value[found]
-            left = left[~found]
-            ca, cb = context(a[left], b[left])
-            found, value = self.look(self.arrays[2 * m - 1], hashed(ca, cb, m - 1) if m > 1 else np.zeros(len(left), np.uint64))
-            back[left] += np.where(found, value, 0)
-            m -= 1
+            left, m = left[~found], m - 1
+            if len(left):
+                back[left] += np.nan_to_num(self.look(*context(a[left], b[left]), m, 2)) if m else self.empty
         out[left] = back[left] + self.floor
         return out
 
-    def log_perplexities(self, texts: list[str]) -> list[float | None]:
-        """Mean negative log probability of all characters; null for a text without characters."""
+    def log_perplexities(self, texts: list[str]) -> list[tuple[float | None, float | None]]:
+        """The negative log probability of all characters, by their number and by the number of words with a letter or a digit, one at least; nulls for a text without characters."""
         codes, ends = sequence(texts)
         n = len(codes) - ORDER + 1
         ok = codes[ORDER - 1 :] != START
         a, b = packed([codes[i : i + n][ok] for i in range(ORDER)])
-        total = np.concatenate([[0.0], np.cumsum(self.log_probability(a, b))])
+        total = np.concatenate([[0.0], np.cumsum(-self.log_probability(a, b))])
         upto = np.cumsum([0, *(e - s - ORDER + 1 for s, e in zip([0, *ends[:-1]], ends))])
-        return [float((total[s] - total[e]) / (e - s)) if e > s else None for s, e in zip(upto, upto[1:])]
+        words = np.concatenate([[0], np.cumsum(ends_of_words(codes)[ORDER - 1 :][ok])])
+        return [tuple(float((total[e] - total[s]) / n) for n in (e - s, max(words[e] - words[s], 1))) if e > s else (None, None) for s, e in zip(upto, upto[1:])]
+
+
+def ends_of_words(codes: np.ndarray) -> np.ndarray:
+    """Whether each code point of a sequence is the last letter or digit of a word."""
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[[c for c in np.unique(codes) if chr(c).isalnum()]] = True
+    own = np.flatnonzero(there[codes] | (codes == START) | (codes == ord(" ")))
+    word = there[codes[own]]
+    last = np.zeros(len(codes), bool)
+    last[own[word & ~np.append(word[1:], False)]] = True
+    return last
 
 
 # ---- training ---------------------------------------------------------------
 
 
 def entries(tables: DataFrame, cuts: dict[tuple[str, int], tuple]) -> DataFrame:
-    """lang, slot, a, b, value: slot 2m - 2 has the log probabilities of order m, 2m - 1 the log back-off weights of its contexts.
+    """A table of lang, m, a, b, p, w: the log probabilities of m-grams, and the log back-off weights of contexts of m characters.
 
     p(w | context) is the discounted share of the context's total, plus the context's
     back-off weight times p(w | shorter context); below order 1 all characters are alike.
@@ -241,8 +258,7 @@ def entries(tables: DataFrame, cuts: dict[tuple[str, int], tuple]) -> DataFrame:
     counts = [F.sum(F.when(c, 1).otherwise(0)).alias(f"n{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
     sums = tables.select("lang", "m", ca, cb, "n").groupBy("lang", "m", "ca", "cb").agg(F.sum("n").alias("total"), *counts)
     sums = cut(sums.join(rates, ["lang", "m"]).select("lang", "m", "ca", "cb", "total", F.expr("(d1 * n1 + d2 * n2 + d3 * n3) / total").alias("weight")))
-    out = sums.select("lang", (2 * F.col("m") - 1).alias("slot"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.log("weight").alias("value"))
-    below = None
+    none, out, below = F.lit(None).cast("float"), [], None
     for m in range(1, ORDER + 1):
         drop = ORDER - m + 1
         sa, sb = F.col("a").bitwiseAND((1 << BITS * max(0, 3 - drop)) - 1), F.col("b") if drop <= 3 else F.col("b").bitwiseAND(MASK)
@@ -250,100 +266,131 @@ def entries(tables: DataFrame, cuts: dict[tuple[str, int], tuple]) -> DataFrame:
         own = own.join(sums.where(f"m = {m}").drop("m"), ["lang", "ca", "cb"]).join(rates.where(f"m = {m}").drop("m"), "lang")
         own = own.withColumn("lower", F.col("floor")) if below is None else own.join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["lang", "sa", "sb"])
         below = cut(own.select("lang", "a", "b", F.expr("greatest(n - case when n = 1 then d1 when n = 2 then d2 else d3 end, 0) / total + weight * lower").alias("p")))
-        out = out.unionByName(below.select("lang", F.lit(2 * m - 2).alias("slot"), "a", "b", F.log("p").alias("value")))
-    return out
+        out.append(below)
+    rows = [t.select("lang", F.lit(m).alias("m"), "a", "b", F.log("p").cast("float").alias("p"), none.alias("w")) for m, t in enumerate(out, 1)]
+    rows.append(sums.select("lang", (F.col("m") - 1).alias("m"), F.col("ca").alias("a"), F.col("cb").alias("b"), none.alias("p"), F.log("weight").cast("float").alias("w")))
+    whole = cut(functools.reduce(DataFrame.unionByName, rows))
+    free(sums, *out)
+    return whole
 
 
 def sorted_blobs(rows: DataFrame) -> DataFrame:
-    """lang, slot, keys, vals: the entries by language, slot and unsigned key, as bytes of up to HELD entries."""
+    """lang, m, keys, p, w: the entries by language, order and unsigned key, one for each key, as bytes of about HELD entries."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            slot, a, b = (x.column(c).to_numpy() for c in ("slot", "a", "b"))
-            keys = np.zeros(len(slot), np.uint64)
-            for m in range(1, ORDER + 1):  # a context of order m has m - 1 characters; the empty one's key is 0
-                at = (slot == 2 * m - 2) | (slot == 2 * m + 1)
+            order, a, b = (x.column(c).to_numpy() for c in ("m", "a", "b"))
+            keys = np.zeros(len(order), np.uint64)  # the empty context's key is 0
+            for m in range(1, ORDER + 1):
+                at = order == m
                 keys[at] = hashed(a[at], b[at], m)
             signed = (keys ^ np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([x.column("lang"), x.column("slot"), pa.array(signed), x.column("value")], names=["lang", "slot", "key", "value"])
+            yield pa.RecordBatch.from_arrays([x.column("lang"), x.column("m"), pa.array(signed), x.column("p"), x.column("w")], names=["lang", "m", "key", "p", "w"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, at, held = arrow_schema("lang string,slot int,keys binary,vals binary"), None, []
+        schema, at, held = arrow_schema("lang string,m int,keys binary,p binary,w binary"), None, []
 
-        def flush() -> pa.RecordBatch:
-            keys, values = (np.concatenate(c) for c in zip(*held))
+        def flush(more: bool) -> pa.RecordBatch:
+            """A probability and a back-off weight of one key meet; with more to come, the last key waits."""
+            keys, p, w = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            return batch([(*at, (keys.view(np.uint64) ^ np.uint64(1 << 63)).tobytes(), values.tobytes())], schema)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            if more:
+                held.append((keys[first[-1] :], p[first[-1] :], w[first[-1] :]))
+                keys, p, w, first = keys[: first[-1]], p[: first[-1]], w[: first[-1]], first[:-1]
+            p, w = (np.fmax.reduceat(x, first) if len(first) else x for x in (p, w))
+            return batch([(*at, (keys[first].view(np.uint64) ^ np.uint64(1 << 63)).tobytes(), p.tobytes(), w.tobytes())], schema)
 
         for x in batches:
-            slot, key, value = (x.column(c).to_numpy() for c in ("slot", "key", "value"))
+            order, key, p, w = (x.column(c).to_numpy(zero_copy_only=False) for c in ("m", "key", "p", "w"))
             lang = np.array(x.column("lang").to_pylist(), object)
-            edges = [0, *(np.flatnonzero((lang[1:] != lang[:-1]) | (slot[1:] != slot[:-1])) + 1), len(slot)]
+            edges = [0, *(np.flatnonzero((lang[1:] != lang[:-1]) | (order[1:] != order[:-1])) + 1), len(order)]
             for i, j in zip(edges, edges[1:]):
                 if i == j:
                     continue
-                if held and ((lang[i], int(slot[i])) != at or sum(len(k) for k, _ in held) >= HELD):
-                    yield flush()
-                at = lang[i], int(slot[i])
-                held.append((key[i:j], value[i:j]))
+                if held and (lang[i], int(order[i])) != at:
+                    yield flush(False)
+                at = lang[i], int(order[i])
+                held.append((key[i:j], p[i:j].astype(np.float32), w[i:j].astype(np.float32)))
+                if sum(len(k) for k, _, _ in held) >= HELD:
+                    yield flush(True)
         if held:
-            yield flush()
+            yield flush(False)
 
-    keyed = rows.mapInArrow(key, "lang string, slot int, key long, value double")
-    ordered = keyed.repartitionByRange(partitions(rows.sparkSession), "lang", "slot", "key").sortWithinPartitions("lang", "slot", "key")
-    return ordered.mapInArrow(pack, "lang string, slot int, keys binary, vals binary")
+    keyed = rows.mapInArrow(key, "lang string, m int, key long, p float, w float")
+    ordered = keyed.repartitionByRange(partitions(rows.sparkSession), "lang", "m", "key").sortWithinPartitions("lang", "m", "key")
+    return ordered.mapInArrow(pack, "lang string, m int, keys binary, p binary, w binary")
 
 
 def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Each language's model with all n-grams, as a mapped file on the driver, which holds a partition of entries at a time."""
-    tables = levels(cut(ngram_counts(docs)))
+    """Each language's model with all n-grams, as a mapped file on the driver, which holds a partition of entries at a time.
+
+    The files have no name any more: their space is free once the arrays are gone.
+    """
+    whole, lower = levels(docs)
+    tables = functools.reduce(DataFrame.unionByName, lower, whole)
     often = {(r.lang, r.m, r.c): r.k for r in tables.groupBy("lang", "m", F.least("n", F.lit(5)).alias("c")).agg(F.count("*").alias("k")).collect()}
     floors = {s: -np.log(sum(often.get((s, 1, c), 0) for c in range(1, 6)) + 1.0) for s in {k[0] for k in often}}
     if not floors:
         return {}
     cuts = {(s, m): (*discounts([often.get((s, m, c), 0) for c in (1, 2, 3, 4)]), float(np.exp(v))) for s, v in floors.items() for m in range(1, ORDER + 1)}
+    rows = entries(tables, cuts)
+    free(whole, *lower)
     folder = tempfile.mkdtemp(prefix="utterloom-")
-    atexit.register(shutil.rmtree, folder, True)
-    paths, sizes = {s: f"{folder}/{i}" for i, s in enumerate(floors)}, {s: [0] * 2 * ORDER for s in floors}
+    paths, sizes, empty = {s: f"{folder}/{i}" for i, s in enumerate(floors)}, {s: [0] * ORDER for s in floors}, dict.fromkeys(floors, 0.0)
     for path in paths.values():
         with open(path, "wb") as f:
-            f.write(bytes(8 * (2 * ORDER + 1)))
-    with open(f"{folder}/values", "w+b") as values:
+            f.write(bytes(8 * (ORDER + 2)))
+    with open(f"{folder}/p", "w+b") as p, open(f"{folder}/w", "w+b") as w:
         at = None
 
-        def close() -> None:  # a slot's values follow its keys
-            values.seek(0)
+        def close() -> None:  # an order's values follow its keys
             with open(paths[at[0]], "ab") as f:
-                shutil.copyfileobj(values, f)
-            values.seek(0)
-            values.truncate()
-
-        for r in sorted_blobs(entries(tables, cuts)).toLocalIterator():
-            if at and at != (r.lang, r.slot):
+                for x in (p, w)[: 2 if at[1] < ORDER else 1]:
+                    x.write(bytes(4 * (sizes[at[0]][at[1] - 1] % 2)))
+                    x.seek(0)
+                    shutil.copyfileobj(x, f)
+            for x in (p, w):
+                x.seek(0)
+                x.truncate()
+
+        for r in sorted_blobs(rows).toLocalIterator():
+            if not r.m:
+                empty[r.lang] = float(np.frombuffer(r.w, np.float32)[0])
+                continue
+            if at and at != (r.lang, r.m):
                 close()
-            at = r.lang, r.slot
+            at = r.lang, r.m
             with open(paths[r.lang], "ab") as f:
                 f.write(r["keys"])
-            values.write(r["vals"])
-            sizes[r.lang][r.slot] += len(r["keys"]) // 8
+            p.write(r.p)
+            w.write(r.w)
+            sizes[r.lang][r.m - 1] += len(r["keys"]) // 8
         close()
+    free(rows)
     for s, path in paths.items():
         with open(path, "r+b") as f:
-            f.write(np.array(sizes[s], np.int64).tobytes() + np.array([floors[s]]).tobytes())
-    return {s: np.memmap(path, np.uint8, "r") for s, path in paths.items()}
-
-
-# ---- the filter -------------------------------------------------------------
+            f.write(np.array(sizes[s], np.int64).tobytes() + np.array([floors[s], empty[s]]).tobytes())
+    models = {s: np.memmap(path, np.uint8, "r") for s, path in paths.items()}
+    shutil.rmtree(folder, True)
+    return models
 
 
-def score(docs: DataFrame, models: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns keep of docs, then FEATURES. A text is scored by its language's model; null text is empty."""
-    spark = docs.sparkSession
+def published(spark: SparkSession, models: dict[str, np.ndarray]) -> dict[str, str]:
+    """The name under which each executor maps its copy of a language's model."""
     names = {}
     for lang, data in models.items():
         put(spark, at := scratch(spark, "ngrams"), data)
-        spark.sparkContext.addFile(at)  # each executor gets a copy to map
+        spark.sparkContext.addFile(at)
         names[lang] = at.rpartition("/")[2]
+    return names
+
+
+# ---- the filter -------------------------------------------------------------
+
+
+def score(docs: DataFrame, names: dict[str, str], keep: list[str]) -> DataFrame:
+    """The columns keep of docs, then FEATURES. A text is scored by its language's published model; null text is empty."""
     inner = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +400,15 @@ def score(docs: DataFrame, models: dict[str, np.ndarray], keep: list[str]) -> Da
             texts = [t or "" for t in x.column(0).to_pylist()]
             langs = [s or "" for s in x.column(1).to_pylist()]
             base = [base_features(t) for t in texts]
-            logs: list[float | None] = [None] * len(texts)
-            for lang in set(langs):
+            logs: list[tuple] = [(None, None)] * len(texts)
+            for lang in set(langs) & set(names):  # a language without characters has no model
                 if lang not in known:
                     known[lang] = Model(np.memmap(SparkFiles.get(names[lang]), np.uint8, "r"))
                 own = [i for i, s in enumerate(langs) if s == lang and not base[i][-1]]
                 for s, e in portions([texts[i] for i in own], CHARS):
                     for i, v in zip(own[s:e], known[lang].log_perplexities([texts[i] for i in own[s:e]])):
                         logs[i] = v
-            more = batch([(*f, v) for f, v in zip(base, logs)], features)
+            more = batch([(*f, *v) for f, v in zip(base, logs)], features)
             yield pa.RecordBatch.from_arrays([*x.columns[2:], *more.columns], schema=pa.schema([*list(x.schema)[2:], *features]))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -369,41 +416,44 @@ def score(docs: DataFrame, models: dict[str, np.ndarray], keep: list[str]) -> Da
 
 
 def bands(scored: DataFrame, lang: str) -> DataFrame:
-    """A row for each language: low and high, the log perplexities between which a text passes."""
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    per = scored.where("not base_failed").groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_lang")).agg(q.alias("q"))
-    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_WIDTH)) * FENCE
-    return per.select("_lang", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
+    """A row for each language: low and high, between which a text's log perplexity passes, and the same of words."""
+    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias(c) for c in SCORES]
+    per = scored.where("not base_failed").groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_lang")).agg(*q)
+    width = [F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(LEAST_WIDTH)) * FENCE for c in SCORES]
+    return per.select("_lang", *[x.alias(n) for c, w, names in zip(SCORES, width, LIMITS) for x, n in zip((F.col(c)[0] - w, F.col(c)[1] + w), names)])
 
 
 def verdicts(scored: DataFrame, lang: str) -> DataFrame:
-    """scored with low, high and kept. One row a language goes to the driver and back as a plan's constant."""
+    """scored with LIMITS and kept. One row a language goes to the driver and back as a plan's constant."""
     rows = [tuple(r) for r in bands(scored, lang).collect()]
-    own = scored.sparkSession.createDataFrame(rows, "_lang string, low double, high double")
-    ok = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    own = scored.sparkSession.createDataFrame(rows, "_lang string, " + ", ".join(f"{n} double" for names in LIMITS for n in names))
+    ok = ~F.col("base_failed")
+    for c, (low, high) in zip(SCORES, LIMITS):
+        ok &= F.coalesce(F.col(c).between(F.col(low), F.col(high)), F.lit(False))
     return scored.withColumn("_lang", F.coalesce(F.col(lang), F.lit(""))).join(own, "_lang", "left").withColumn("kept", ok).drop("_lang")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, FEATURES, low, high, kept of every document.
+    """doc_id, lang, FEATURES, LIMITS, kept of every document.
 
     Null texts are empty and fail the base rules; null languages are a language of their
     own. Repeated rows are judged alike. No rows give no rows.
     """
     text_batches(docs.sparkSession)
-    return verdicts(cut(score(docs, train(docs), ["doc_id", "lang"])), "lang")
+    names = published(docs.sparkSession, train(docs))
+    collect_garbage(docs.sparkSession)
+    return verdicts(cut(score(docs, names, ["doc_id", "lang"])), "lang")
 
 
 def passed(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of docs. Texts are scored twice rather than stored or joined."""
-    text_batches(docs.sparkSession)
-    models = train(docs)
-    low = cut(score(docs, models, ["lang"]))
-    rows = [tuple(r) for r in bands(low, "lang").collect()]
+    """The documents that pass, with the columns of docs. They are scored once, into a table that holds them, and filtered from it."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    names = published(spark, train(docs))
+    collect_garbage(spark)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
-    own = docs.sparkSession.createDataFrame(rows, "_lang string, low double, high double")
-    scored = score(whole, models, ["_row", "lang"]).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    return scored.join(own, "_lang").where("not base_failed and log_perplexity between low and high").select("_row.*")
+    scored = cut(score(whole, names, ["_row", "lang"]).where("not base_failed").select("_row", "lang", "base_failed", *SCORES))
+    return verdicts(scored, "lang").where("kept").select("_row.*")
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
