@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, partitions, portions, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, portions, table, text_batches
 from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.perplexity import SPACES
@@ -213,7 +213,7 @@ def shared_keys(docs: DataFrame, edits) -> DataFrame:
 
 
 def near_links(docs: DataFrame, edits=EDITS) -> DataFrame:
-    """a, b: links of line ids that join all lines within the allowed edits of each other."""
+    """a, b: links of line ids that join all lines within the allowed edits of each other; a table of cut()."""
     spark = docs.sparkSession
     useful = cut(shared_keys(docs, edits))
     bits = bits_of(useful, F.col("key"))
@@ -230,6 +230,7 @@ def near_links(docs: DataFrame, edits=EDITS) -> DataFrame:
 
     lines = docs.select("text").mapInArrow(run, "key long, line long, text string").join(useful, "key", "left_semi")
     lines = cut(lines.groupBy("key", "line").agg(F.first("text").alias("text")))
+    free(useful)
     size = lines.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("line").cast("decimal(38,0)")).alias("who"))
     size = cut(size.where("n > 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     own = lines.join(size, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
@@ -249,7 +250,9 @@ def near_links(docs: DataFrame, edits=EDITS) -> DataFrame:
             yield batch(out, schema)
         yield batch([*work.group(held), *work.flush()], schema)
 
-    return rows.mapInArrow(verify, "a long, b long")
+    out = cut(rows.mapInArrow(verify, "a long, b long"))
+    free(lines, size)
+    return out
 
 
 def places(docs: DataFrame, bits=None) -> DataFrame:
@@ -268,18 +271,23 @@ def places(docs: DataFrame, bits=None) -> DataFrame:
 
 
 def removed_places(docs: DataFrame, edits=EDITS) -> DataFrame:
-    """doc_id, gone: the place ids of the lines that go from each document that loses lines."""
+    """doc_id, gone: the place ids of the lines that go from each document that loses lines; a table of cut()."""
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
-    every = cut(places(docs).groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n")))
-    roots = cut(components(near_links(docs, edits)))
-    groups = every.join(roots, every.line == roots.node, "left").where("n > 1 or root is not null").select("line", "first", F.coalesce("root", "line").alias("root"))
-    groups = cut(groups)
+    links = near_links(docs, edits)
+    roots = components(links)
+    free(links)
+    every = places(docs).groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n"))
+    groups = cut(every.join(roots, every.line == roots.node, "left").where("n > 1 or root is not null").select("line", "first", F.coalesce("root", "line").alias("root")))
+    free(roots)
     firsts = groups.groupBy("root").agg(F.min("first").alias("stays"))
     known = cut(groups.select("line", "root").join(firsts, "root").select("line", "stays"))
+    free(groups)
     rows = places(docs, bits_of(known, F.col("line"))).join(known, "line")
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("number") == F.col("stays.number"))
     gone = rows.where(~stays).select("doc_id", "line", "number")
-    return gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("gone"))
+    out = cut(gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("gone")))
+    free(known)
+    return out
 
 
 def cleaned(docs: DataFrame, edits=EDITS) -> DataFrame:
@@ -288,14 +296,12 @@ def cleaned(docs: DataFrame, edits=EDITS) -> DataFrame:
     Documents that lose no line are told by a filter of ids and aren't shuffled.
     """
     text_batches(docs.sparkSession)
-    gone = cut(removed_places(docs, edits))
+    gone = removed_places(docs, edits)
     bits = bits_of(gone, F.col("doc_id"))
 
-    @F.pandas_udf("boolean")
-    def may_lose(ids):
-        import pandas as pd
-
-        return pd.Series(passes(bits.value, ids.fillna(0).to_numpy(np.int64)) | ids.isna().to_numpy())
+    @F.arrow_udf("boolean")
+    def may_lose(ids: pa.Array) -> pa.Array:  # Arrow's longs stay exact beside nulls
+        return pa.array(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False))
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text").withColumn("_may", may_lose("_id"))
     kept = whole.where("not _may").select("_row", "text", F.lit(None).cast("string").alias("clean"), F.lit(0).cast("long").alias("n_removed"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, partitions, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, table, text_batches
 from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.syncmers import grams, mix
@@ -209,19 +209,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     classes = cut(each.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     rows = classes.where("id is not null").select("id", "digest", F.posexplode("bands").alias("band", "hash"))
     rows = rows.select("id", "digest", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = cut(rows.groupBy("bucket").agg(F.min(F.struct("id", "digest")).alias("p"), F.count("*").alias("n")).where("n > 1").select("bucket", "p"))
-    members = cut(rows.join(buckets, "bucket").select("bucket", "id", "digest", "p"))
-    pairs = cut(members.where("digest <> p.digest").select("id", "digest", F.col("p.id").alias("pivot"), F.col("p.digest").alias("pivot_digest")).distinct())
-    wanted = members.select("id", "digest").distinct()
+    buckets = cut(rows.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"))
+    members = cut(rows.join(buckets, "bucket").select("bucket", "id", "digest", "pivot"))
+    free(buckets)
+    wanted = cut(members.select("id", "digest").distinct())
+    pivots = wanted.select(F.col("id").alias("pivot"), F.col("digest").alias("pivot_digest"))
+    pairs = cut(members.where("id <> pivot").select("id", "digest", "pivot").distinct().join(pivots, "pivot"))
     sets = cut(sets_of(docs, wanted, words))
     links = cut(pivot_links(pairs, sets, percent))
-    roots = cut(components(links))
-    parts = members.join(roots, members.id == roots.node, "left").select("bucket", "id", "digest", F.coalesce("root", "id").alias("part"))
-    more = cut(rest_links(cut(parts), sets, percent))
+    free(wanted, pairs)
+    roots = components(links)
+    free(links)
+    parts = cut(members.join(roots, members.id == roots.node, "left").select("bucket", "id", "digest", F.coalesce("root", "id").alias("part")))
+    free(members)
+    more = cut(rest_links(parts, sets, percent))
+    free(parts, sets)
     if not more.isEmpty():
-        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        first, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        free(first)
+    free(more)
     own = cut(classes.select("digest", "id").join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root")))
-    out = each.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
+    free(classes, roots)
+    out = cut(each.select("doc_id", "n_shingles", "digest").join(own, "digest", "left"))
+    free(each, own)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
