@@ -1,13 +1,13 @@
 """Integer speech features as numpy kernels over whole utterances, and their Spark wrappers.
 
-All stages work on every frame of an utterance at once, in 64-bit integers; shifts floor,
-and rounding is half up. 16 kHz mono, frames of 400 samples every 160.
+All stages work on every frame of an utterance at once, in 64-bit integers. Shifts floor;
+stages round half up, but for the pre-emphasis, which floors. 16 kHz mono, frames of 400 samples every 160.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,10 +44,10 @@ def tables() -> dict[str, np.ndarray]:
 
 
 def preemphasis(x: np.ndarray) -> np.ndarray:
-    """x minus the coefficient times the sample before; the first follows itself; clamped to 16 bits."""
+    """x minus the coefficient times the sample before, which is floored; the first follows itself; clamped to 16 bits."""
     x = np.asarray(x, np.int64)
     before = np.concatenate([x[:1], x[:-1]])
-    return np.clip(x - (before * EMPHASIS + 16384 >> 15), -32768, 32767)
+    return np.clip(x - (before * EMPHASIS >> 15), -32768, 32767)
 
 
 def framed(x: np.ndarray) -> np.ndarray:
@@ -128,9 +128,15 @@ def log_mel(x: np.ndarray) -> np.ndarray:
     return log2_q8(mel(magnitude(*fft(rows)))) + (2 - shift << 8)[:, None]
 
 
-def cepstra(logs: np.ndarray) -> np.ndarray:
-    """Cosine coefficients 1 to 12; each product is rounded before it is added."""
-    return (logs[:, None, :] * tables()["cos"] + 16384 >> 15).sum(axis=2)
+def lifter(length: int = 0) -> np.ndarray:
+    """Gains of the cepstra in Q12; 4096, which changes nothing, without a length."""
+    j = np.arange(1, CEPSTRA + 1)
+    return rounded(4096 * (1 + length / 2 * np.sin(np.pi * j / length))) if length else np.full(CEPSTRA, 4096)
+
+
+def cepstra(logs: np.ndarray, length: int = 0) -> np.ndarray:
+    """Cosine coefficients 1 to 12, liftered; each product is rounded before it is added."""
+    return (logs[:, None, :] * tables()["cos"] + 16384 >> 15).sum(axis=2) * lifter(length) + 2048 >> 12
 
 
 def without_mean(rows: np.ndarray) -> np.ndarray:
@@ -147,12 +153,12 @@ def deltas(rows: np.ndarray) -> np.ndarray:
 
 
 def features(x: np.ndarray) -> np.ndarray:
-    """24 columns in Q4: mean-free cepstra and their deltas."""
+    """24 columns: mean-free cepstra in Q4, and their deltas in Q6, which brings them to a like size."""
     logs = log_mel(x)
     if not len(logs):
         return np.empty((0, 2 * CEPSTRA), np.int64)
     c = without_mean(cepstra(logs))
-    return np.concatenate([c, deltas(c)], 1) + 8 >> 4
+    return np.concatenate([c + 8 >> 4, deltas(c) + 2 >> 2], 1)
 
 
 def patch(x: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -191,20 +197,35 @@ def pitch(x: np.ndarray, rate: int = RATE, low: int = 70, high: int = 400, loud:
 # ---- Spark ------------------------------------------------------------------
 
 
-def with_features(utterances: DataFrame) -> DataFrame:
-    """utt_id, frame_no, vec of utterances (utt_id, samples); one utterance in memory at a time, in Arrow batches."""
+def with_rows(utterances: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = features) -> DataFrame:
+    """utt_id, frame_no, vec of utterances (utt_id, samples): the rows that a kernel makes; one utterance in memory at a time, in Arrow batches."""
     kind = dict(utterances.dtypes)["utt_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, x in zip(b["utt_id"], b["samples"]):
-                rows = features(np.asarray(x if x is not None else [], np.int64))
+                rows = kernel(np.asarray(x if x is not None else [], np.int64))
                 if len(rows):
                     yield pd.DataFrame({"utt_id": [key] * len(rows), "frame_no": np.arange(len(rows), dtype=np.int32), "vec": list(rows.astype(np.int32))})
 
     return utterances.select("utt_id", "samples").mapInPandas(run, f"utt_id {kind}, frame_no int, vec array<int>")
 
 
+def with_features(utterances: DataFrame) -> DataFrame:
+    """utt_id, frame_no, vec: the 24 features of each frame."""
+    return with_rows(utterances, features)
+
+
+def signal(n: int, seed: int = 12_345, rate: int = RATE) -> np.ndarray:
+    """A test signal: tones of 320, 1180 and 2600 Hz under one swell, and noise from a congruential generator."""
+    i, noise, state = np.arange(n), np.empty(n, np.int64), seed
+    for k in range(n):
+        state = (1_103_515_245 * state + 12_345) & 0x7FFFFFFF
+        noise[k] = (state >> 16) % 401 - 200
+    tones = sum(a * np.sin(2 * np.pi * f * i / rate) for a, f in ((7000, 320), (3500, 1180), (1500, 2600)))
+    return np.clip(np.trunc(tones * (0.5 - 0.5 * np.cos(2 * np.pi * i / max(n, 1)))).astype(np.int64) + noise, -32768, 32767)
+
+
 def with_patches(utterances: DataFrame) -> DataFrame:
     """utt_id, n_frames, clipped, patch."""
     kind = dict(utterances.dtypes)["utt_id"]

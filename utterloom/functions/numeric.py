@@ -97,3 +97,8 @@ def lower_median(values: Column) -> Column:
 
 def aligned(length: Column, to: int = 4) -> Column:
     return F.floor((length + (to - 1)) / to).cast("long") * to
+
+
+def clip_bytes(samples: Column, head: int = 8) -> Column:
+    """Bytes of a four-bit clip of so many samples: its header, and half a byte for each sample but the first."""
+    return (F.when(samples > 1, F.floor(samples / 2)).otherwise(0) + head).cast("long")

@@ -112,3 +112,19 @@ def quality_of(name: Column) -> Column:
     """2 for premium voices, 1 for enhanced ones, else 0."""
     low = F.lower(name)
     return F.when(low.contains("(premium)"), 2).when(low.contains("(enhanced)"), 1).otherwise(0)
+
+
+def gender_of(name: Column, genders: Mapping[str, str]) -> Column:
+    """The gender that a stated list gives for a voice's stem, else unknown."""
+    if not genders:
+        return F.lit("unknown")
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in genders.items() for x in kv]), name_stem(name)), F.lit("unknown"))
+
+
+def respell(text: Column, spellings: Mapping[str, str]) -> Column:
+    """Each word, without the marks around it, by its entry; marks stay."""
+    if not spellings:
+        return text
+    own = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    bare = lambda w: F.rtrim(w, F.lit(BREAKS))
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.coalesce(F.element_at(own, bare(w)), bare(w)), F.substr(w, F.length(bare(w)) + 1))), " ")

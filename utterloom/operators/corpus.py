@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterloom.operators.matching import small_rows
+
 
 def leaks(rows: DataFrame, entity: str, split: str = "split") -> DataFrame:
     """entity, splits: what stands in more than one split."""
@@ -21,8 +23,9 @@ def twins(rows: DataFrame, digest: Column, name: str) -> DataFrame:
 
 
 def missing_classes(rows: DataFrame, splits: DataFrame, classes: DataFrame) -> DataFrame:
-    """split, label of every class that a split lacks. Both lists are stated and small."""
-    wanted = splits.select("split").crossJoin(F.broadcast(classes.select("label")))
+    """split, label of every class that a split lacks. The classes are a stated list."""
+    every = F.array(*[F.lit(r.label) for r in small_rows(classes.select("label"))])
+    wanted = splits.select("split", F.explode(every).alias("label"))
     return wanted.join(rows.select("split", "label").distinct(), ["split", "label"], "left_anti")
 
 
@@ -35,6 +38,30 @@ def newest(rows: list[DataFrame], key: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}") for c in columns if c != "_age"])
 
 
+def joined_takes(folders: list[DataFrame]) -> DataFrame:
+    """The takes of several folders; columns that a folder lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), folders)
+
+
+def with_tier(rows: DataFrame, family: str, locale: str, word_ms: str, most_ms: float = 600) -> DataFrame:
+    """rows with tier: natural for a family of one that is quick enough, expressive for a family of several locales, else novelty."""
+    own = rows.groupBy(family).agg(F.count("*").alias("_n"), F.min(locale).alias("_low"), F.max(locale).alias("_high"))
+    tier = F.when((F.col("_n") == 1) & (F.col(word_ms) <= most_ms), "natural").when(F.col("_low") != F.col("_high"), "expressive").otherwise("novelty")
+    return rows.join(own, family).withColumn("tier", tier).drop("_n", "_low", "_high")
+
+
+def retired(rows: DataFrame, words: list[str], name: str = "name", truth: str = "truth") -> DataFrame:
+    """name, n: rows without a truth whose name is a retired word."""
+    return rows.where(F.col(truth).isNull() & F.col(name).isin(*words)).groupBy(name).agg(F.count("*").alias("n"))
+
+
+def template_rows(rows: DataFrame, voices: int, takes: int, seed: int = 0) -> DataFrame:
+    """Rows (voice, label, file) of the first voices in the order of a seeded digest, at most so many takes of each label, by file."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), "voice"))
+    chosen = rows.select("voice").distinct().orderBy(order, "voice").limit(voices)
+    return capped(rows.join(F.broadcast(chosen), "voice", "left_semi"), ["voice", "label"], ["file"], takes).select("voice", "label", "file")
+
+
 def first_mentions(sources: list[DataFrame], key: Column) -> DataFrame:
     """text, source: the union of text lists without texts whose key came before, by source, then text order."""
     every = reduce(lambda a, b: a.unionByName(b), [s.select("pos", "text", F.lit(i).alias("source")) for i, s in enumerate(sources)])
@@ -70,13 +97,12 @@ def families(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> D
     Rounds read checkpoints and go on until no label changes; only whether one did reaches
     the driver. With a bound on the rounds, families that are unfinished there are an error.
     """
-    if edges.sparkSession.sparkContext.getCheckpointDir() is None:
-        named = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="utterloom-")
-        edges.sparkSession.sparkContext.setCheckpointDir(named)
+    sc = edges.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(at)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("family")).checkpoint()
     done = 0
@@ -100,9 +126,21 @@ def utterance_plan(forms: DataFrame, rates: list[int], offset: int = 0) -> DataF
 
 
 def pak_layout(clips: DataFrame, head: int = 16, entry: int = 20, to: int = 4) -> DataFrame:
-    """id, offset, length: the places of aligned blobs behind a header and an index, by id. One archive's index is one task's light rows."""
+    """id, offset, length: the places of aligned blobs behind a header and an index, by id.
+
+    Running sums are taken inside ranges of ids, and a range starts with the sum of those
+    before it, so no task sees more than its range. Only a row for each range is ever
+    ordered in one task.
+    """
     up = lambda c: F.floor((c + (to - 1)) / to).cast("long") * to
-    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    count = clips.agg(F.count("*").alias("clips"))
-    rows = clips.withColumn("before", F.coalesce(F.sum(up(F.col("length"))).over(w), F.lit(0)))
-    return rows.join(F.broadcast(count)).select("id", (up(F.lit(head) + F.col("clips") * entry) + F.col("before")).alias("offset"), "length")
+    parts = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [r.id for r in clips.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(64 * parts).select("id").distinct().orderBy("id").collect()][32::64]
+    part = F.lit(0)
+    for c in cuts if len(cuts) <= 64 else cuts[:: -(-len(cuts) // 64)]:
+        part = part + (F.col("id") >= c).cast("int")
+    rows = clips.select("id", "length", up(F.col("length")).alias("size"), part.alias("part"))
+    sums = rows.groupBy("part").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
+    whole, order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select("part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy()).alias("clips"))
+    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(F.broadcast(start), "part")
+    return placed.select("id", (up(F.lit(head) + F.col("clips") * entry) + F.col("start") + F.col("before")).alias("offset"), "length")

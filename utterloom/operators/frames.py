@@ -60,9 +60,9 @@ def loudest(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def preemphasis(rows: DataFrame, key: str, q15: int = 31785) -> DataFrame:
-    """rows with y: x minus the coefficient (Q15) times the one before, rounded half up and clamped to 16 bits; the first follows itself."""
+    """rows with y: x minus the coefficient (Q15) times the one before, floored, and clamped to 16 bits; the first follows itself."""
     before = F.lag("x", 1).over(Window.partitionBy(key).orderBy("i"))
-    y = F.col("x") - F.shiftright((F.coalesce(before, F.col("x")) * q15 + 16384).cast("long"), 15)
+    y = F.col("x") - F.shiftright((F.coalesce(before, F.col("x")) * q15).cast("long"), 15)
     return rows.withColumn("y", F.greatest(F.lit(-32768), F.least(F.lit(32767), y)))
 
 

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAMILIES = 100_000  # families that the driver may see; above, splits go by hash
+from utterloom.operators.matching import small, small_rows
+
+FAMILIES = 1_000_000  # families that the driver plans for; more are an error
 
 
 def balanced(sizes: Mapping[str, int], shares: Sequence[tuple[str, int]] = (("train", 3), ("val", 1), ("test", 1))) -> dict[str, str]:
@@ -21,27 +23,48 @@ def balanced(sizes: Mapping[str, int], shares: Sequence[tuple[str, int]] = (("tr
     return out
 
 
+def required(families: Sequence[Mapping], locale: str = "en_US", shares: Sequence[tuple[str, int]] = (("train", 3), ("val", 1), ("test", 1))) -> list[dict]:
+    """families (family, tier, locale, gender, quality) with split, by requirements in this order.
+
+    Only natural ones are held out. Of the wanted locale, the best of each known gender is
+    for test, then one of each for train, and all others train. Of the other locales, genders
+    that train, test and val lack are filled in that order, best first; what is left is
+    balanced by the shares. Better means a higher quality, then the name.
+    """
+    rows = [dict(f, split="train" if f["tier"] != "natural" else None) for f in families]
+    free = sorted((r for r in rows if r["split"] is None), key=lambda r: (-r["quality"], r["family"]))
+    near, far, known = [r for r in free if r["locale"] == locale], [r for r in free if r["locale"] != locale], ("male", "female")
+
+    def place(pools: Sequence[list[dict]], gender: str, split: str) -> None:
+        one = next((r for pool in pools for r in pool if r["split"] is None and r["gender"] == gender), None)
+        if one:
+            one["split"] = split
+
+    for split in ("test", "train"):
+        for gender in known:
+            place([near], gender, split)
+    for r in near:
+        r["split"] = r["split"] or "train"
+    for split in ("train", "test", "val"):
+        there = {r["gender"] for r in rows if r["split"] == split}
+        for gender in known:
+            if gender not in there:
+                place([far], gender, split)
+    plan = balanced({r["family"]: r.get("size", 1) for r in far if r["split"] is None}, shares)
+    return [dict(r, split=r["split"] or plan[r["family"]]) for r in rows]
+
+
 def with_splits(rows: DataFrame, family: str, held: Mapping[str, str] | None = None, shares: Sequence[tuple[str, int]] = (("train", 3), ("val", 1), ("test", 1))) -> DataFrame:
     """rows with split, the same for a whole family; held names families whose split is given.
 
-    The sizes of up to FAMILIES families go to the driver; where there are more, a hash of
-    the family decides, which is balanced without being asked.
+    One row for each family goes to the driver, of at most FAMILIES; the plan goes back as a
+    table, which the join broadcasts if its size allows.
     """
-    sizes = rows.groupBy(F.col(family).alias("f")).agg(F.count("*").alias("n"))
-    some = sizes.limit(FAMILIES + 1).collect()
-    if len(some) > FAMILIES:
-        whole = sum(n for _, n in shares)
-        point, split, upto = F.pmod(F.xxhash64(family), F.lit(whole)), F.lit(shares[-1][0]), whole
-        for name, n in reversed(shares):
-            split = F.when(point < upto, name).otherwise(split)
-            upto -= n
-        for f, s in (held or {}).items():
-            split = F.when(F.col(family) == f, s).otherwise(split)
-        return rows.withColumn("split", split)
+    some = small_rows(rows.groupBy(F.col(family).alias("f")).agg(F.count("*").alias("n")), FAMILIES)
     free = {r.f: r.n for r in some if r.f is not None and r.f not in (held or {})}
     plan = {**balanced(free, shares), **(held or {})}
     made = rows.sparkSession.createDataFrame(list(plan.items()) or [("", "")], "f string, split string")
-    return rows.join(F.broadcast(made), rows[family] == made["f"], "left").drop("f")
+    return rows.join(small(made), rows[family] == made["f"], "left").drop("f")
 
 
 def requirements(rows: DataFrame, tiers: Sequence[str] = ("natural",)) -> DataFrame:

@@ -33,17 +33,8 @@ def phantom_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.twins(documents(spark, sf_dir), F.md5("text"), "source")
 
 
-@query("split_completeness", f"WITH d AS (SELECT {SPLIT} AS split, lang || quality AS label FROM documents JOIN labels USING (doc_id) WHERE doc_id % 7 < 2), s AS (SELECT unnest(['train', 'val', 'test']) AS split), c AS (SELECT unnest(['en0', 'en1', 'de0', 'de1', 'fr0', 'fr1', 'es0', 'es1', 'it0']) AS label) SELECT split, label FROM s, c EXCEPT SELECT split, label FROM d")
+@query("split_completeness", f"WITH d AS (SELECT {SPLIT} AS split, lang || quality AS label FROM documents JOIN labels USING (doc_id)), s AS (SELECT unnest(['train', 'val', 'test']) AS split), c AS (SELECT unnest(['en0', 'en1', 'de0', 'de1', 'fr0', 'fr1', 'es0', 'es1', 'it0']) AS label) SELECT split, label FROM s, c EXCEPT SELECT split, label FROM d")
 def split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes that a split lacks among a seventh of the labels, which is thin on purpose."""
-    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("doc_id % 7 < 2").select("split", F.concat("lang", F.col("quality").cast("string")).alias("label"))
-    splits = spark.createDataFrame([("train",), ("val",), ("test",)], "split string")
-    classes = spark.createDataFrame([(f"{s}{q}",) for s in ("en", "de", "fr", "es") for q in (0, 1)] + [("it0",)], "label string")
-    return co.missing_classes(rows, splits, classes)
-
-
-@query("split_completeness_all", f"WITH d AS (SELECT {SPLIT} AS split, lang || quality AS label FROM documents JOIN labels USING (doc_id)), s AS (SELECT unnest(['train', 'val', 'test']) AS split), c AS (SELECT unnest(['en0', 'en1', 'de0', 'de1', 'fr0', 'fr1', 'es0', 'es1', 'it0']) AS label) SELECT split, label FROM s, c EXCEPT SELECT split, label FROM d")
-def split_completeness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes that a split lacks among all labels."""
     rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("split", F.concat("lang", F.col("quality").cast("string")).alias("label"))
     splits = spark.createDataFrame([("train",), ("val",), ("test",)], "split string")
@@ -88,18 +79,8 @@ def listed_but_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id").join(there, "doc_id", "left_anti")
 
 
-@query("first_mentions", "WITH u AS (SELECT 0 AS source, item_id AS pos, text FROM benchmark UNION ALL SELECT 1, doc_id, substr(text, 1, 40) FROM documents UNION ALL SELECT 2, doc_id, replace(upper(substr(text, 1, 40)), 'ẞ', 'SS') FROM documents) SELECT key, text, source FROM (SELECT *, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g') AS key, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g') ORDER BY source, pos, text) AS r FROM u) WHERE r = 1")
+@query("first_mentions", "WITH u AS (SELECT 0 AS source, item_id AS pos, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, replace(upper(text), 'ẞ', 'SS') FROM documents), k AS (SELECT *, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g')) AS key FROM u) SELECT key, text, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, pos, text) AS r FROM k) WHERE r = 1")
 def first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    heads = docs.select(F.col("doc_id").alias("pos"), F.substring("text", 1, 40).alias("text"))
-    sources = [items.select(F.col("item_id").alias("pos"), "text"), heads, heads.withColumn("text", F.upper("text"))]
-    from utterloom.functions.text import slug
-
-    return co.first_mentions(sources, slug(F.lower("text")))
-
-
-@query("first_mentions_whole", "WITH u AS (SELECT 0 AS source, item_id AS pos, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, replace(upper(text), 'ẞ', 'SS') FROM documents), k AS (SELECT *, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g')) AS key FROM u) SELECT key, text, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, pos, text) AS r FROM k) WHERE r = 1")
-def first_mentions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First mentions by whole texts, keyed by a digest."""
     from utterloom.functions.text import slug
 
@@ -162,23 +143,8 @@ def requirement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg((F.count("*") >= 100).alias("enough"), (F.countDistinct("source") >= 3).alias("varied"), (F.min("n_chars") > 0).alias("filled"))
 
 
-@query("tier_rule", "SELECT source, CASE WHEN count(*) < 10 THEN 'novelty' WHEN stddev_pop(n_chars) > avg(n_chars) THEN 'expressive' ELSE 'natural' END AS tier FROM documents GROUP BY 1")
-def tier_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier = F.when(F.count("*") < 10, "novelty").when(F.stddev_pop("n_chars") > F.avg("n_chars"), "expressive").otherwise("natural")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(tier.alias("tier"))
-
-
-@query("order_of_takes", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rep, lang AS word FROM documents QUALIFY rep < 2")
+@query("order_of_takes", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rep, lang AS word FROM documents")
 def order_of_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two repetitions of each source, as a round-robin order begins."""
-    from pyspark.sql import Window
-
-    rep = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
-    return table(spark, sf_dir, "documents").select("doc_id", rep.alias("rep"), F.col("lang").alias("word")).where("rep < 2")
-
-
-@query("order_of_all_takes", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rep, lang AS word FROM documents")
-def order_of_all_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's place in a round-robin order of the sources."""
     from pyspark.sql import Window
 

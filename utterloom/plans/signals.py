@@ -101,7 +101,7 @@ def loudest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.loudest(samples(spark, sf_dir).withColumn("x", F.abs("x")), "user_id", 10)
 
 
-@query("preemphasis", f"WITH {SAMPLES} SELECT user_id, i, x, greatest(-32768, least(32767, x - ((coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY i), x) * 31785 + 16384) >> 15))) AS y FROM s")
+@query("preemphasis", f"WITH {SAMPLES} SELECT user_id, i, x, greatest(-32768, least(32767, x - ((coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY i), x) * 31785) >> 15))) AS y FROM s")
 def preemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.preemphasis(samples(spark, sf_dir), "user_id")
 

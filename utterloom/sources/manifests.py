@@ -82,3 +82,14 @@ def cached_features(spark: SparkSession, path: str, constants: Mapping, make) ->
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
+
+
+def still_to_take(plan: DataFrame, manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows of a plan (label, rep) without a row of the manifest (label, rep, file) whose file is in the listing."""
+    done = manifest.join(listing.select("file"), "file", "left_semi").select("label", "rep")
+    return plan.join(done, ["label", "rep"], "left_anti")
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A manifest as JSON lines under path, in place of what is there; a session that is broken off goes on from the last one written."""
+    rows.write.mode("overwrite").json(path)

@@ -63,6 +63,19 @@ class Live:
                 self.loud = self.quiet = 0
 
 
+def captures(chunks: DataFrame, frame: int = FRAME) -> DataFrame:
+    """key, state, frames, floor at the end of each whole capture of chunks (key, seq, samples, muted); a capture in memory at a time."""
+    kind = dict(chunks.dtypes)["key"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        live, rows = Live(frame), rows.sort_values("seq")
+        for samples, muted in zip(rows["samples"], rows["muted"]):
+            live.feed(samples, bool(muted))
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "state": [live.state], "frames": [live.frames], "floor": [live.floor]})
+
+    return chunks.select("key", "seq", "samples", "muted").groupBy("key").applyInPandas(run, f"key {kind}, state string, frames long, floor long")
+
+
 def capture_stream(chunks: DataFrame, frame: int = FRAME) -> DataFrame:
     """key, state, frames, floor after each batch of a stream of chunks (key, seq, samples, muted), fed in order of seq."""
     kind = dict(chunks.dtypes)["key"]
