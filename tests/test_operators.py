@@ -8,6 +8,7 @@ from utterloom.operators import frames as fr
 from utterloom.operators import matching as m
 
 SCRIPT = """
+(ASSUME ARE AM I YOU MY YOUR)
 ; a small script of our own
 (GREETING GOOD DAY. WHAT IS ON YOUR MIND?)
 (NONE (GO ON.) (TELL ME MORE.))
@@ -196,3 +197,48 @@ def test_unfinished_families_are_an_error(spark):
     with pytest.raises(RuntimeError):
         co.families(edges, nodes, rounds=1)
     assert {r.family for r in co.families(edges, nodes).collect()} == {0}
+
+
+def test_bag_reads_only_what_the_script_assumes(script):
+    bare = rules.compile_script(SCRIPT.replace("(ASSUME ARE AM I YOU MY YOUR)", ""))
+    assert rules.Doctor(bare).respond_to_bag(["mother"]) == bare.none[0]
+    assert rules.Doctor(script).reading((0, "YOU", 0), ["SAD"]) == ([[], ["YOU"], []], False)
+
+
+def test_reachable_through_a_long_chain(spark):
+    n = 40
+    long = rules.compile_script("".join(f"(K{i} ((0 K{i} 0) (GOTO K{i + 1})))" for i in range(n)) + f"(K{n} = K0 ((0 K{n} 0) (AT LAST.)))")
+    assert [r.reply for r in rules.reachable(spark, long, ["K0"]).collect()] == ["AT LAST."]
+
+
+def test_required_splits():
+    voice = lambda family, gender, quality=0, locale="en_US", tier="natural": {"family": family, "gender": gender, "quality": quality, "locale": locale, "tier": tier}
+    rows = [voice("a", "male"), voice("b", "male", 2), voice("c", "female"), voice("d", "female", 1), voice("e", "male"), voice("f", "unknown", 2), voice("n", "male", 2, tier="novelty")]
+    rows += [voice(f"g{i}", g, locale="en_GB") for i, g in enumerate(("male", "female", "male", "unknown", "unknown", "unknown", "unknown", "unknown"))]
+    got = {r["family"]: r["split"] for r in splits.required(rows)}
+    assert {k for k, v in got.items() if v == "test"} >= {"b", "d"} and got["a"] == got["c"] == got["e"] == got["f"] == got["n"] == "train"
+    assert got["g0"] == got["g1"] == "val" and set(got.values()) == {"train", "val", "test"}
+    assert sum(got[f"g{i}"] == "train" for i in range(2, 8)) == 4
+    assert splits.required([]) == []
+
+
+def test_more_families_than_the_driver_plans_for(spark, monkeypatch):
+    monkeypatch.setattr(splits, "FAMILIES", 3)
+    with pytest.raises(ValueError):
+        splits.with_splits(spark.createDataFrame([(str(i),) for i in range(4)], "family string"), "family")
+
+
+def test_class_scores_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    q, t = rng.integers(-50, 50, (40, 6)), rng.integers(-50, 50, (9, 6))
+    rows = [(i, x.tolist(), int(n)) for i, (x, n) in enumerate(zip(q, rng.integers(1, 9, 40)))] + [(99, None, 1)]
+    library = [(f"l{i % 3}", x.tolist(), int(k)) for i, (x, k) in enumerate(zip(t, rng.integers(1, 9, 9)))]
+    left, right = spark.createDataFrame(rows, "query long, v array<int>, n int"), spark.createDataFrame(library, "label string, t array<int>, m int")
+    for ratio in (None, 150):
+        want = {}
+        for i, x, n in rows[:-1]:
+            for label, y, m in library:
+                if ratio is None or (n * 100 <= m * ratio and m * 100 <= n * ratio):
+                    want[i, label] = min(want.get((i, label), 1 << 30), int(np.abs(np.array(x) - y).sum()))
+        assert {(r.query, r.label): r.score for r in m.class_scores(left, right, ratio).collect()} == want
+    assert m.class_scores(left, right.limit(0)).count() == 0
