@@ -237,8 +237,8 @@ def test_class_scores_against_all_pairs(spark):
     for ratio in (None, 150):
         want = {}
         for i, x, n in rows[:-1]:
-            for label, y, m in library:
-                if ratio is None or (n * 100 <= m * ratio and m * 100 <= n * ratio):
+            for label, y, k in library:
+                if ratio is None or (n * 100 <= k * ratio and k * 100 <= n * ratio):
                     want[i, label] = min(want.get((i, label), 1 << 30), int(np.abs(np.array(x) - y).sum()))
         assert {(r.query, r.label): r.score for r in m.class_scores(left, right, ratio).collect()} == want
     assert m.class_scores(left, right.limit(0)).count() == 0
