@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -109,9 +111,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for tables of long texts (rows and bytes are bounded)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Batches small enough for tables of long texts, in readers and on the way to Python; the session keeps these settings, since results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
+def trim() -> None:
+    """Give the memory that a worker has freed back to the system; at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:

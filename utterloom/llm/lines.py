@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, portions, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, portions, table, text_batches, trim
 from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.perplexity import SPACES
@@ -185,7 +185,7 @@ class Verifier:
 
 def new_lines(texts: list[str | None], seen: set[int], edits) -> tuple[list[str], np.ndarray]:
     """Lines that may differ in places and that the task hasn't seen lately, with their ids."""
-    if len(seen) > 500_000:  # only spares repeats
+    if len(seen) > 250_000:  # only spares repeats
         seen.clear()
     own, ids = [], []
     for text in texts:
@@ -207,6 +207,7 @@ def shared_keys(docs: DataFrame, edits) -> DataFrame:
             for i, j in portions(own, CHARS):
                 key, at, first = keys(own[i:j], edits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i:j][at]), pa.array(first.astype(np.int32))], schema=schema)
+        trim()
 
     rows = docs.select("text").mapInArrow(run, "key long, line long, own int")
     return rows.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own")).where("a <> b and own = 1").select("key")
@@ -227,6 +228,7 @@ def near_links(docs: DataFrame, edits=EDITS) -> DataFrame:
                 k = np.flatnonzero(passes(bits.value, key))
                 texts = pa.array(own[i:j], pa.string()).take(pa.array(at[k]))
                 yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(ids[i:j][at[k]]), texts], schema=schema)
+        trim()
 
     lines = docs.select("text").mapInArrow(run, "key long, line long, text string").join(useful, "key", "left_semi")
     lines = cut(lines.groupBy("key", "line").agg(F.first("text").alias("text")))

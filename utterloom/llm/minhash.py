@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, table, text_batches, trim
 from utterloom.llm.bits import bits_of, passes
 from utterloom.llm.components import components
 from utterloom.llm.syncmers import grams, mix
@@ -72,6 +72,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 x = shingles(text, words)
                 rows.append((doc, len(x), xxhash.xxh3_128_digest(x.tobytes()), signature(x)) if len(x) else (doc, 0, None, None))
             yield batch(rows, schema)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {SIGNED}")
 

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from utterloom.llm.base import arrow_schema, batch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, table, text_batches, trim
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, "byte_bpe_50k.json"
 STEP = 32  # ids of a fill level
-CACHED = 600_000  # pieces of text whose ids a worker remembers before it starts anew
+CACHED = 300_000  # pieces of text whose ids a worker remembers before it starts anew
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -208,6 +208,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) ->
             yield batch(rows, schema)
         if schema:
             yield batch(list(packer.finish()), schema)
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 

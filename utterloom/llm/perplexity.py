@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, collect_garbage, cut, free, partitions, portions, put, scratch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, collect_garbage, cut, free, partitions, portions, put, scratch, table, text_batches, trim
 from utterloom.llm.syncmers import mix
 
 ORDER = 5
@@ -144,6 +144,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                     yield flush(lang)
         for lang in list(held):
             yield flush(lang)
+        trim()
 
     return docs.select("text", "lang").mapInArrow(run, COUNTS).groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
 
@@ -410,6 +411,7 @@ def score(docs: DataFrame, names: dict[str, str], keep: list[str]) -> DataFrame:
                         logs[i] = v
             more = batch([(*f, *v) for f, v in zip(base, logs)], features)
             yield pa.RecordBatch.from_arrays([*x.columns[2:], *more.columns], schema=pa.schema([*list(x.schema)[2:], *features]))
+        trim()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     return inner.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), FEATURES]))
@@ -417,7 +419,7 @@ def score(docs: DataFrame, names: dict[str, str], keep: list[str]) -> DataFrame:
 
 def bands(scored: DataFrame, lang: str) -> DataFrame:
     """A row for each language: low and high, between which a text's log perplexity passes, and the same of words."""
-    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias(c) for c in SCORES]
+    q = [F.percentile(F.round(c, 3), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in SCORES]  # exact; rounded, so that the counts by value stay few
     per = scored.where("not base_failed").groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_lang")).agg(*q)
     width = [F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(LEAST_WIDTH)) * FENCE for c in SCORES]
     return per.select("_lang", *[x.alias(n) for c, w, names in zip(SCORES, width, LIMITS) for x, n in zip((F.col(c)[0] - w, F.col(c)[1] + w), names)])
