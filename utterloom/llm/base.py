@@ -43,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go as soon as each is done."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a table in the shared folder: computed once, survives lost executors; free() deletes it.
 
@@ -50,12 +61,8 @@ def cut(df: DataFrame) -> DataFrame:
     and the write's shuffle files go as soon as it is done.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "cut")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_freed(spark):
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

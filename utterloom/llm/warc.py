@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, cut, partitions, scratch, table, text_batches
+from utterloom.llm.base import arrow_schema, batch, cut, free, partitions, scratch, shuffles_freed, table, text_batches
 from utterloom.llm.bits import bits_of, passes
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
@@ -118,7 +118,7 @@ def write(pages: DataFrame, path: str) -> None:
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for b in batches:
             own = [x.encode("utf-8", "surrogatepass") for x in b.column("html").to_pylist()]
             ids = b.column("page_id").cast(pa.int64())
@@ -140,7 +140,9 @@ def write(pages: DataFrame, path: str) -> None:
                 out.append(record(page, url, b"" if revisit else widen(payload, max_output_size=size or 1), base64.b32encode(digest).decode(), size, refers, revisit))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
+    with shuffles_freed(pages.sparkSession):
+        rows.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
+    free(groups)
 
 
 # ---- reader -----------------------------------------------------------------
@@ -269,13 +271,17 @@ def joined(spark: SparkSession, path: str, pieces: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under path; see RECORD. What only looks like a record isn't returned."""
     text_batches(spark)
-    rows = cut(place(cut(scan(spark, path))))
+    scanned = cut(scan(spark, path))
+    rows = cut(place(scanned))
+    free(scanned)
     found = rows.where("offset >= 0 and span is not null")
     true = cut(reached(found.select("file", "split", "stop", "offset", "span")))
     records = cut(found.join(true, ["file", "offset"]))
+    free(true)
     names = [x.split()[0] for x in RECORD.split(", ")]
     whole = records.where("whole").select(*names)
     if records.where("not whole").isEmpty():
+        free(rows)
         return whole
     starts = records.select("file", "offset", F.struct(F.col("offset").alias("record"), (F.col("offset") + F.col("span")).alias("until"), "whole").alias("r"))
     own = F.last("r", True).over(Window.partitionBy("file").orderBy("offset"))  # a file's light rows
