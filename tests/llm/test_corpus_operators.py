@@ -235,6 +235,13 @@ def test_verdicts_against_brute_force(spark):
     assert {i: r.kept for i, r in got.items()} == {i: kept.get(i, False) for i in got} and not kept[100] and not kept[101]
 
 
+def test_texts_are_not_dealt_by_language(spark):
+    rng = random.Random(55)
+    rows = [(i, prose(rng, 80), "en" if i % 2 else "de", "s", 0) for i in range(40)]
+    kept = perplexity.passed(table(spark, rows))
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() > 30
+
+
 # ---- mixing -----------------------------------------------------------------
 
 

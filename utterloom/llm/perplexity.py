@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterloom.llm.base import arrow_schema, batch, collect_garbage, cut, free, partitions, portions, put, scratch, table, text_batches, trim
+from utterloom.llm.base import arrow_schema, batch, collect_garbage, constant, cut, free, partitions, portions, put, scratch, table, text_batches, trim
 from utterloom.llm.syncmers import mix
 
 ORDER = 5
@@ -426,9 +426,9 @@ def bands(scored: DataFrame, lang: str) -> DataFrame:
 
 
 def verdicts(scored: DataFrame, lang: str) -> DataFrame:
-    """scored with LIMITS and kept. One row a language goes to the driver and back as a plan's constant."""
+    """scored with LIMITS and kept. One row a language goes to the driver and back as a plan's constant; texts in scored stay where they are."""
     rows = [tuple(r) for r in bands(scored, lang).collect()]
-    own = scored.sparkSession.createDataFrame(rows, "_lang string, " + ", ".join(f"{n} double" for names in LIMITS for n in names))
+    own = constant(scored.sparkSession, rows, "_lang string, " + ", ".join(f"{n} double" for names in LIMITS for n in names))
     ok = ~F.col("base_failed")
     for c, (low, high) in zip(SCORES, LIMITS):
         ok &= F.coalesce(F.col(c).between(F.col(low), F.col(high)), F.lit(False))
