@@ -7,6 +7,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -430,6 +431,29 @@ def test_lines_against_all_pairs(spark):
     assert sorted(map(tuple, lines.line_counts(table(spark, rows)).collect()), key=repr) == slow_lines(rows)
 
 
+def test_long_lines_are_compared_in_little_memory():
+    rng = random.Random(56)
+    code = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")
+    own = ["".join(rng.choices("abcdefgh ", k=20_000)) for _ in range(40)]
+    near, far = own[0][:9000] + "q" + own[0][9001:-1], own[0][:-3] + "qqq"
+    a, b = [code(x) for x in own[:-1] * 20] + [code(own[0])] * 2, [code(x) for x in own[1:] * 20] + [code(near), code(far)]
+    tracemalloc.start()
+    found = lines.within(a, b, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == [False] * (len(a) - 2) + [True, False] and peak < 16 << 20
+
+
+def test_pairs_that_wait_hold_few_characters():
+    rng = random.Random(57)
+    work, links = lines.Verifier(), []
+    for i in range(0, 120, 2):
+        x = "".join(rng.choices("abcdefgh ", k=60_000))
+        links += work.group([(i, x), (i + 1, x[:100] + "qq" + x[102:])])
+        assert sum(len(p[3]) + len(p[4]) for p in work.pairs) < 1 << 22
+    assert sorted([*links, *work.flush()]) == [(i, i + 1) for i in range(0, 120, 2)]
+
+
 def test_null_ids_beside_long_ones(spark):
     same = "a line that two documents share, and no other"
     rows = [(1, same, "en", "s", 0), (2**60 + 1, "first\n" + same, "en", "s", 0), (None, same + "\nlast", "en", "s", 0)]

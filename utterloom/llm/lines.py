@@ -32,6 +32,7 @@ from utterloom.llm.syncmers import FACTOR, mix
 #: Shortest lines, in characters, that may differ in one place and in two.
 EDITS = ((20, 1), (40, 2))
 BLOCK, PAIRS = 256, 8192  # lines of a key that meet in one task; pairs verified at a time
+HELD, COLUMNS = 1 << 21, 128  # characters of lines of several keys that wait to be verified; of a line, laid out at a time
 CHARS = 1 << 18  # characters of lines whose keys are made at a time; a longer line is alone
 
 
@@ -106,34 +107,32 @@ def within(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
     Column by column over all pairs at once. A word's 2t + 1 bits are the cells of the
     band in one column, as vertical differences; the distance is followed along the
     band's lower edge until it reaches the last row, and then along that row. Pairs over
-    t leave early.
+    t leave early. Only the characters of the next COLUMNS columns are laid out, so what
+    is held doesn't grow with the lines.
     """
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     ok = np.abs(la - lb) <= t
     on = np.flatnonzero(ok)
     if not len(on):
         return ok
-    wide = int(max(la[on].max(), lb[on].max())) + 1
-    pa_, pb_ = np.zeros((len(on), wide + 3 * t + 2), np.uint32), np.ones((len(on), wide), np.uint32)
-    for k, i in enumerate(on):
-        pa_[k, t : t + la[i]] = a[i] + 2  # cells without a character match nothing
-        pb_[k, : lb[i]] = b[i] + 2
     m, n = la[on], lb[on]
     full, top = np.uint32((1 << 2 * t + 1) - 1), np.uint32(2 * t)
     vp = np.full(len(on), ((1 << t + 1) - 1) << t, np.uint32)
     vn, dist = np.zeros(len(on), np.uint32), np.full(len(on), t)
-    done = np.zeros(len(ok), bool)
-    for j in range(1, wide + 1):
+    done, at = np.zeros(len(ok), bool), np.arange(len(on))
+    for j in range(1, int(max(m.max(), n.max())) + 2):
         ended = n < j
         if ended.any():
             done[on[ended & (dist <= t)]] = True
             live = ~ended
-            on, m, n, vp, vn, dist, pa_, pb_ = on[live], m[live], n[live], vp[live], vn[live], dist[live], pa_[live], pb_[live]
+            on, m, n, vp, vn, dist, at = on[live], m[live], n[live], vp[live], vn[live], dist[live], at[live]
         if not len(on):
             break
-        char, match = pb_[:, j - 1], np.zeros(len(on), np.uint32)
-        for k in range(2 * t + 1):
-            match |= (pa_[:, j - 1 + k] == char).astype(np.uint32) << np.uint32(k)
+        if (k := (j - 1) % COLUMNS) == 0:
+            pa_, pb_, at = columns(a, on, j - 1 - t, COLUMNS + 2 * t), columns(b, on, j - 1, COLUMNS), np.arange(len(on))
+        char, match = pb_[at, k], np.zeros(len(on), np.uint32)
+        for i in range(2 * t + 1):
+            match |= (pa_[at, k + i] == char).astype(np.uint32) << np.uint32(i)
         d0 = ((((match & vp) + vp) ^ vp) | match | vn) & full
         hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
         row = np.maximum(m - j + t, 0).astype(np.uint32)
@@ -141,16 +140,25 @@ def within(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
         vp, vn = (hn | ~(d0 >> np.uint32(1) | hp)) & full, (d0 >> np.uint32(1)) & hp
         if j % 8 == 0 and (far := dist > 2 * t + np.maximum(n - m, 0)).any():  # along the last row it falls by one a column at most
             live = ~far
-            on, m, n, vp, vn, dist, pa_, pb_ = on[live], m[live], n[live], vp[live], vn[live], dist[live], pa_[live], pb_[live]
+            on, m, n, vp, vn, dist, at = on[live], m[live], n[live], vp[live], vn[live], dist[live], at[live]
     done[on[dist <= t]] = True
     return done
 
 
+def columns(lines: list[np.ndarray], on: np.ndarray, start: int, n: int) -> np.ndarray:
+    """The n characters from start of each line in on, plus 2; 0, which matches nothing, where a line has none."""
+    out, skip = np.zeros((len(on), n), np.uint32), max(0, -start)
+    for k, i in enumerate(on):
+        own = lines[i][start + skip : start + n]
+        out[k, skip : skip + len(own)] = own + np.uint32(2)
+    return out
+
+
 class Verifier:
     """Pairs of lines, verified in batches; gives as few links as join all that are linked."""
 
     def __init__(self, edits=EDITS):
-        self.edits, self.pairs, self.root = edits, [], {}
+        self.edits, self.pairs, self.held, self.root = edits, [], 0, {}
 
     def find(self, x: int) -> int:
         while (up := self.root.setdefault(x, x)) != x:
@@ -170,9 +178,12 @@ class Verifier:
                     self.pairs.append((t, i, j, s, r))
             if len(self.pairs) >= PAIRS:
                 yield from self.flush()
+        self.held += sum(r[0] for r in rows) if self.pairs else 0
+        if self.held >= HELD:  # pairs of other keys would keep more lines
+            yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, int]]:
-        pairs, self.pairs = sorted(self.pairs, key=lambda p: (p[0], len(p[3]))), []
+        pairs, self.pairs, self.held = sorted(self.pairs, key=lambda p: (p[0], len(p[3]))), [], 0
         for t in sorted({p[0] for p in pairs}):
             own = [p for p in pairs if p[0] == t]
             for lo in range(0, len(own), 2048):  # of like length
