@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from utterloom.operators import evaluation as ev
 from utterloom.operators import matching as m
 
 
@@ -35,6 +36,16 @@ def test_nearest_other_against_all_pairs(spark, monkeypatch, piece):
     assert m.nearest_other(df.where("vec_id = 3")).count() == 0
 
 
+def test_within_between_against_all_pairs(spark):
+    rows, df = vectors(spark, 60)
+    rows = [r for r in rows if None not in r]
+    pairs = [(a[1] == b[1], l1(a[2], b[2])) for a in rows for b in rows if a[0] < b[0]]
+    within, between = (np.mean([d for s, d in pairs if s == k]) for k in (True, False))
+    frame = ev.within_between(df)
+    assert frame.collect()[0] == pytest.approx((within, between, between / within))
+    assert ev.within_between(df.where("vec_id = 3")).collect()[0] == (None, None, None)
+
+
 def test_more_templates_than_a_small_table(spark):
     t = spark.range(m.TEMPLATE_BOUND + 1).select((F.col("id") % 3).cast("int").alias("label"), F.array(F.col("id").cast("int"), F.lit(1)).alias("t"))
     q = spark.createDataFrame([(1, [20_000, 1]), (2, [-4, 2])], "query long, v array<int>")

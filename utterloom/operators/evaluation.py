@@ -7,9 +7,13 @@ recall of 0; a variant that fires as its own word is benign and counts in neithe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterloom.operators.matching import pair_sums
+
 MARGINS = (0, 40, 60, 80, 100)
 
 
@@ -95,11 +99,19 @@ def separation(scores: DataFrame) -> DataFrame:
     return gaps.groupBy("label").agg(F.floor(F.sum("gap") / F.sum("n")).cast("long").alias("gap"), F.min_by("rival", F.struct(-F.col("n"), F.col("rival"))).alias("rival"))
 
 
-def within_between(pairs: DataFrame) -> DataFrame:
-    """within, between, ratio of mean distances from (a_label, b_label, d)."""
-    same = F.col("a_label") == F.col("b_label")
-    means = pairs.agg(F.avg(F.when(same, F.col("d"))).alias("within"), F.avg(F.when(~same, F.col("d"))).alias("between"))
-    return means.withColumn("ratio", F.col("between") / F.col("within"))
+def within_between(rows: DataFrame) -> DataFrame:
+    """within, between, ratio of the mean L1 distances over all pairs of rows (vec_id, label, v) with different keys, from sums and numbers of pairs."""
+    rows = rows.where("vec_id is not null and label is not null and v is not null")
+    again = rows.join(rows.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id"), "vec_id", "left_semi")
+
+    def sums(*group: str, of: DataFrame = rows) -> DataFrame:
+        return pair_sums(of, *group).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+    parts = {"every": sums(), "own": sums("label"), "same_key": sums("vec_id", of=again), "same_both": sums("vec_id", "label", of=again)}
+    one = reduce(DataFrame.crossJoin, [F.broadcast(df.select(F.col("total").alias(f"{k}_d"), F.col("pairs").alias(f"{k}_n"))) for k, df in parts.items()])
+    within = F.expr("try_divide(own_d - same_both_d, own_n - same_both_n)")
+    between = F.expr("try_divide(every_d - own_d - same_key_d + same_both_d, every_n - own_n - same_key_n + same_both_n)")
+    return one.select(within.alias("within"), between.alias("between")).withColumn("ratio", F.try_divide("between", "within"))
 
 
 def class_weights(rows: DataFrame, classes: DataFrame, boosted: str | int, factor: float) -> DataFrame:
