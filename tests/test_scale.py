@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from utterloom.operators import evaluation as ev
 from utterloom.operators import matching as m
+from utterloom.plans import registry
+
+DATA = "/root/testdata/sf0.001"
 
 
 def vectors(spark, n, seed=5):
@@ -63,3 +66,9 @@ def test_class_scores_in_pieces_and_wide_values(spark, monkeypatch):
     assert {(r.query, r.label): r.score for r in m.class_scores(left, right).collect()} == want
     with pytest.raises(Exception, match="one length"):
         m.class_scores(left, right.unionByName(right.withColumn("t", F.slice("t", 1, 2)))).collect()
+
+
+@pytest.mark.parametrize("name", ["result_diff"])
+def test_scores_are_made_once(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

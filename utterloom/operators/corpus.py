@@ -71,8 +71,13 @@ def first_mentions(sources: list[DataFrame], key: Column) -> DataFrame:
 def result_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """key, state: missing, extra, equal or different, between a reference and a result."""
     a, b = left.select(key, F.col(value).alias("x"), F.lit(1).alias("l")), right.select(key, F.col(value).alias("y"), F.lit(1).alias("r"))
-    state = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").when(F.col("x").eqNullSafe(F.col("y")), "equal").otherwise("different")
-    return a.join(b, key, "full_outer").select(key, state.alias("state"))
+    return diff_states(a.join(b, key, "full_outer"), key, F.col("l").isNotNull(), F.col("x"), F.col("r").isNotNull(), F.col("y"))
+
+
+def diff_states(rows: DataFrame, key: str, in_left: Column, x: Column, in_right: Column, y: Column) -> DataFrame:
+    """key, state of result_diff() where both sides are columns of the same rows, which are then read once: whether a row is in the reference with x, and in the result with y."""
+    state = F.when(~in_right, "missing").when(~in_left, "extra").when(x.eqNullSafe(y), "equal").otherwise("different")
+    return rows.where(in_left | in_right).select(key, state.alias("state"))
 
 
 def capped(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
