@@ -84,10 +84,9 @@ def per_class(scored: DataFrame, fired: Column) -> DataFrame:
 
 def steals(scored: DataFrame) -> DataFrame:
     """thief, victim, n, rate: how often a class is best in place of the true one, as a share of the true one's rows."""
-    rows = scored.where("truth_kind = 'word'")
-    total = rows.groupBy(F.col("truth_label").alias("victim")).agg(F.count("*").alias("total"))
-    n = rows.where("best_label <> truth_label").groupBy(F.col("best_label").alias("thief"), F.col("truth_label").alias("victim")).agg(F.count("*").alias("n"))
-    return n.join(total, "victim").select("thief", "victim", "n", (F.col("n") / F.col("total")).alias("rate"))
+    n = scored.where("truth_kind = 'word'").groupBy(F.col("best_label").alias("thief"), F.col("truth_label").alias("victim")).agg(F.count("*").alias("n"))
+    rate = F.col("n") / F.sum("n").over(Window.partitionBy("victim"))
+    return n.select("thief", "victim", "n", rate.alias("rate")).where("thief <> victim")
 
 
 def separation(scores: DataFrame) -> DataFrame:
