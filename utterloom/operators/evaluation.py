@@ -50,16 +50,16 @@ def sweep(scored: DataFrame, margins=MARGINS) -> DataFrame:
     """The operating point of each margin and each threshold at which a decision changes, the observed best scores.
 
     Rows become counts by (margin, best) first, and thresholds are running sums over
-    those, so that no row meets a threshold other than through its score.
+    those, so that no row meets a threshold other than through its score, and scores are
+    made once.
     """
     clear = (F.col("margin") == 0) | F.col("second").isNull() | (F.col("second") - F.col("best") >= F.col("margin"))
-    rows = scored.where("best is not null").withColumn("margin", F.explode(F.array(*[F.lit(m) for m in margins])))
-    rows = rows.withColumn("o", outcome(F.when(clear, F.col("best_label"))))
-    per = rows.groupBy("margin", "best").agg(*counts("o"))
+    rows = scored.withColumn("margin", F.explode(F.array(*[F.lit(m) for m in margins])))
+    rows = rows.withColumn("o", outcome(F.when(F.col("best").isNotNull() & clear, F.col("best_label"))))
+    per = rows.groupBy("margin", "best").agg(*counts("o"), F.sum(F.when(F.col("truth_kind") == "word", 1).otherwise(0)).alias("words"))
     upto = Window.partitionBy("margin").orderBy("best").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("margin", F.col("best").alias("threshold"), *[F.sum(c).over(upto).alias(c) for c in ("tp", "wrong", "oov", "benign")])
-    words = scored.agg(F.sum(F.when(F.col("truth_kind") == "word", 1).otherwise(0)).alias("n_words"))
-    return run.join(F.broadcast(words)).select("margin", "threshold", *rates(), "tp", "wrong", "oov", "benign", "n_words")
+    run = per.select("margin", F.col("best").alias("threshold"), *[F.sum(c).over(upto).alias(c) for c in ("tp", "wrong", "oov", "benign")], F.sum("words").over(Window.partitionBy("margin")).alias("n_words"))
+    return run.where("threshold is not null").select("margin", "threshold", *rates(), "tp", "wrong", "oov", "benign", "n_words")
 
 
 def recommend(points: DataFrame) -> DataFrame:
