@@ -68,7 +68,7 @@ def test_class_scores_in_pieces_and_wide_values(spark, monkeypatch):
         m.class_scores(left, right.unionByName(right.withColumn("t", F.slice("t", 1, 2)))).collect()
 
 
-@pytest.mark.parametrize("name", ["result_diff", "steals", "top_steals", "threshold_sweep"])
+@pytest.mark.parametrize("name", ["result_diff", "steals", "top_steals", "threshold_sweep", "recommend_point"])
 def test_scores_are_made_once(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1

@@ -64,8 +64,10 @@ def sweep(scored: DataFrame, margins=MARGINS) -> DataFrame:
 
 def recommend(points: DataFrame) -> DataFrame:
     """Two rows of a sweep: the highest recall without a false fire, and with a precision of 0.95; ties by margin, then threshold."""
-    best = lambda df, name: df.orderBy(F.desc("recall"), "margin", "threshold").limit(1).select(F.lit(name).alias("choice"), "*")
-    return best(points.where("wrong + oov = 0 and tp > 0"), "clean").unionByName(best(points.where("precision >= 0.95"), "p95"))
+    first = lambda where: F.min_by(F.struct(*points.columns), F.when(F.expr(where), F.struct(-F.col("recall"), "margin", "threshold")))
+    tops = points.agg(first("wrong + oov = 0 and tp > 0").alias("clean"), first("precision >= 0.95").alias("p95"))
+    rows = tops.select(F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.col(n).alias("p")) for n in ("clean", "p95")])).alias("r"))
+    return rows.where("r.p is not null").select("r.choice", "r.p.*")
 
 
 def confusion(scored: DataFrame, fired: Column) -> DataFrame:
