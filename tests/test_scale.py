@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from utterloom.operators import endpoints
 from utterloom.operators import evaluation as ev
 from utterloom.operators import matching as m
 from utterloom.plans import registry
@@ -72,3 +73,46 @@ def test_class_scores_in_pieces_and_wide_values(spark, monkeypatch):
 def test_scores_are_made_once(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def slow_ends(rows, quiet, look, hits, cross):
+    """first, last of a capture's (frame, energy, crossings), step by step."""
+    lead = [r for r in rows if r[0] < quiet]
+    em, cm = (sum(r[k] for r in lead) // len(lead) for k in (1, 2))
+    es = int(np.sqrt(sum((r[1] - em) ** 2 for r in lead) // len(lead)))
+    itl = max(1, min(3 * (max(r[1] for r in rows) - em) // 100 + em, 4 * em))
+    gate, runs = max(em + 4 * es, em + (em >> 3)), []
+    for f, e, _ in rows:
+        if e > itl:
+            if runs and runs[-1][-1][0] == f - 1:
+                runs[-1].append((f, e))
+            else:
+                runs.append([(f, e)])
+    runs = [r for r in runs if max(e for _, e in r) > 5 * itl]
+    if not runs:
+        return None
+    first, last = runs[0][0][0], runs[-1][-1][0]
+    friction = [f for f, e, c in rows if c > cross and e > gate]
+    before, after = [f for f in friction if first - look <= f < first], [f for f in friction if last < f <= last + look]
+    return before[0] if len(before) >= hits else first, after[-1] if len(after) >= hits else last
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_captures_over_batches(spark, batch):
+    rng = np.random.default_rng(2)
+    stats = {k: [(f, int(e), int(c)) for f, (e, c) in enumerate(zip(rng.choice([3, 9, 20, 200], 30, p=[0.5, 0.2, 0.2, 0.1]), rng.integers(0, 5, 30)))] for k in range(40)}
+    df = spark.createDataFrame([(k, *r) for k, rows in stats.items() for r in reversed(rows)], "key long, frame long, energy long, crossings long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.key: (r.first, r.last) for r in endpoints.backoff(df, "key", 3, 1, 5, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {k: slow_ends(rows, 3, 5, 2, 1) for k, rows in stats.items()}
+    assert got == {k: x for k, x in want.items() if x} and len(got) > 20
+
+
+@pytest.mark.parametrize("name", ["endpoints", "zcr_backoff", "vad_thresholds", "energy_onset"])
+def test_frames_are_read_once(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("parquet") == 1

@@ -1,69 +1,151 @@
 """Finding the word in a capture from frame energies and zero crossings.
 
-A capture's frames are light rows and bounded in number; thresholds are aggregates, onsets
-are islands of loud frames found with window functions, and the outward search over quiet
-friction is a bounded conditional aggregate.
+A capture's frames are light rows; they are dealt by capture once, sorted, and read as a
+stream, so that a task sorts its frames and holds one capture, however many captures
+there are and however much is derived from them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
+from math import isqrt
 
-from utterloom.functions.numeric import isqrt
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 QUIET, LOOK, HITS, FLOOR, SIGMA, GATE, MARGIN, SHORTEST, LONGEST = 10, 25, 3, 25, 4, 3, 3, 15, 180
+#: Result rows of a batch.
+ROWS = 4096
+
+
+def per_capture(stats: DataFrame, key: str, work: Callable[..., tuple | None], columns: str) -> DataFrame:
+    """key and columns (longs), a row for each capture that work has one for; work gets the capture's frames, energies and crossings in order, and which energies are known."""
+    names = columns.split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, out, kind = [], [], [], None
+
+        def done() -> None:
+            made = work(*(np.concatenate(c) for c in zip(*held)))
+            if made is not None:
+                keys.append(current)
+                out.append(made)
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, pa.int64()) for c in zip(*out))], names=[key, *names])
+            keys.clear()
+            out.clear()
+            return made
+
+        current = None
+        for b in batches:
+            if not len(b):
+                continue
+            kind, ids = b.column(key).type, b.column(key)
+            values = [b.column("frame").to_numpy(zero_copy_only=False), *(b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("energy", "crossings")), b.column("energy").is_valid().to_numpy(zero_copy_only=False)]
+            starts = [0, *(np.nonzero(pa.compute.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))[0] + 1).tolist(), len(b)]
+            for i, j in zip(starts, starts[1:]):
+                at = ids[i].as_py()
+                if held and at != current:
+                    done()
+                    held.clear()
+                current = at
+                held.append([v[i:j] for v in values])
+                if len(out) >= ROWS:
+                    yield flush()
+        if held:
+            done()
+        if out:
+            yield flush()
+
+    rows = stats.where(F.col(key).isNotNull()).select(key, F.col("frame").cast("long").alias("frame"), F.col("energy").cast("long").alias("energy"), F.col("crossings").cast("long").alias("crossings"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "frame")
+    return rows.mapInArrow(run, f"{key} {stats.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
+
+
+def limits(frame: np.ndarray, energy: np.ndarray, crossings: np.ndarray, known: np.ndarray, quiet: int) -> tuple | None:
+    """n, itl, itu, izct, egate of a capture; None without a quiet frame."""
+    lead = frame < quiet
+    k = int(lead.sum())
+    if not known[lead].any():
+        return None
+    e, c = energy[lead & known].tolist(), crossings[lead].tolist()
+    em, cm = sum(e) // k, sum(c) // k
+    es, cs = isqrt(sum((x - em) ** 2 for x in e) // k), isqrt(sum((x - cm) ** 2 for x in c) // k)
+    itl = max(1, min(3 * (int(energy[known].max()) - em) // 100 + em, 4 * em))
+    return len(frame), itl, 5 * itl, max(cm + 2 * cs, FLOOR), max(em + SIGMA * es, em + (em >> GATE))
+
+
+def outer(frame: np.ndarray, energy: np.ndarray, itl: int, itu: int) -> tuple | None:
+    """The outer frames of the first and the last run over itl that reaches itu."""
+    over = np.nonzero(energy > itl)[0]
+    if not len(over):
+        return None
+    run = np.cumsum(np.diff(frame[over], prepend=frame[over[0]]) > 1)
+    loud = run[energy[over] > itu]
+    if not len(loud):
+        return None
+    return int(frame[over[np.searchsorted(run, loud[0])]]), int(frame[over[np.searchsorted(run, loud[-1], "right") - 1]])
+
+
+def moved(frame: np.ndarray, energy: np.ndarray, crossings: np.ndarray, first: int, last: int, izct: int, egate: int, look: int, hits: int) -> tuple:
+    """first and last moved out to the outermost of enough friction frames within look frames."""
+    friction = frame[(crossings > izct) & (energy > egate)]
+    before, after = friction[(friction < first) & (friction >= first - look)], friction[(friction > last) & (friction <= last + look)]
+    return int(before[0]) if len(before) >= max(hits, 1) else first, int(after[-1]) if len(after) >= max(hits, 1) else last
 
 
 def thresholds(stats: DataFrame, key: str, quiet: int = QUIET) -> DataFrame:
     """key, n, itl, itu, izct, egate from the first quiet frames and the loudest one; means and deviations are floored."""
-    lead = F.col("frame") < quiet
-    per = stats.groupBy(key).agg(
-        F.count("*").alias("n"), F.max("energy").alias("imx"),
-        *[F.expr(f"sum({c}) filter (where frame < {quiet}) div count({c}) filter (where frame < {quiet})").alias(f"{c[0]}m") for c in ("energy", "crossings")],
-    )
-    own = stats.where(lead).join(per.select(key, "em", "cm"), key)
-    spread = own.groupBy(key).agg(*[F.expr(f"sum(({c} - {c[0]}m) * ({c} - {c[0]}m)) div count(*)").alias(f"{c[0]}v") for c in ("energy", "crossings")])
-    t = per.join(spread, key)
-    itl = F.greatest(F.lit(1), F.least(F.floor(3 * (F.col("imx") - F.col("em")) / 100) + F.col("em"), 4 * F.col("em")))
-    t = t.withColumn("itl", itl.cast("long")).withColumn("itu", F.col("itl") * 5)
-    t = t.withColumn("izct", F.greatest(F.col("cm") + 2 * isqrt(F.col("cv")), F.lit(FLOOR)).cast("long"))
-    return t.select(key, "n", "itl", "itu", "izct", F.greatest(F.col("em") + SIGMA * isqrt(F.col("ev")), F.col("em") + F.shiftright("em", GATE)).cast("long").alias("egate"))
-
-
-def onsets(stats: DataFrame, limits: DataFrame, key: str) -> DataFrame:
+    return per_capture(stats, key, lambda f, e, c, known: limits(f, e, c, known, quiet), "n itl itu izct egate")
+
+
+def onsets(stats: DataFrame, key: str, quiet: int = QUIET) -> DataFrame:
     """key, first, last: the outer frames of the first and the last run over itl that reaches itu."""
-    rows = stats.join(limits.select(key, "itl", "itu"), key).where(F.col("energy") > F.col("itl"))
-    rows = rows.withColumn("run", F.col("frame") - F.row_number().over(Window.partitionBy(key).orderBy("frame")))
-    runs = rows.groupBy(key, "run").agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.max(F.col("energy") > F.col("itu")).alias("loud")).where("loud")
-    return runs.groupBy(key).agg(F.min("a").alias("first"), F.max("b").alias("last"))
 
+    def work(f, e, c, known):
+        found = limits(f, e, c, known, quiet)
+        return found and outer(f, e, *found[1:3])
+
+    return per_capture(stats, key, work, "first last")
 
-def backoff(stats: DataFrame, limits: DataFrame, ends: DataFrame, key: str, look: int = LOOK, hits: int = HITS) -> DataFrame:
-    """ends moved out to the outermost of enough friction frames within look frames."""
-    friction = stats.join(limits.select(key, "izct", "egate"), key).where((F.col("crossings") > F.col("izct")) & (F.col("energy") > F.col("egate"))).select(key, "frame")
-    near = friction.join(ends, key)
-    before = F.when((F.col("frame") < F.col("first")) & (F.col("frame") >= F.col("first") - look), F.col("frame"))
-    after = F.when((F.col("frame") > F.col("last")) & (F.col("frame") <= F.col("last") + look), F.col("frame"))
-    moved = near.groupBy(key).agg(F.count(before).alias("nb"), F.min(before).alias("b"), F.count(after).alias("na"), F.max(after).alias("a"))
-    out = ends.join(moved, key, "left")
-    return out.select(key, F.when(F.col("nb") >= hits, F.col("b")).otherwise(F.col("first")).alias("first"), F.when(F.col("na") >= hits, F.col("a")).otherwise(F.col("last")).alias("last"))
+
+def backoff(stats: DataFrame, key: str, quiet: int = QUIET, crossings: int | None = None, look: int = LOOK, hits: int = HITS) -> DataFrame:
+    """onsets() moved out to the outermost of enough friction frames within look frames; crossings stands for a capture's own threshold."""
+
+    def work(f, e, c, known):
+        found = limits(f, e, c, known, quiet)
+        ends = found and outer(f, e, *found[1:3])
+        return ends and moved(f, e, c, *ends, found[3] if crossings is None else crossings, found[4], look, hits)
+
+    return per_capture(stats, key, work, "first last")
 
 
 def endpoints(stats: DataFrame, key: str, frame: int = 160, quiet: int = QUIET, margin: int = MARGIN, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
     """key, start, stop in samples of the word in each capture that has one; an over-long one keeps its loudest part."""
-    limits = thresholds(stats, key, quiet).where(F.col("n") >= quiet + shortest)
-    raw = onsets(stats, limits, key).where("last > first")
-    ends = backoff(stats, limits, raw, key).join(limits.select(key, "n"), key)
-    ends = ends.select(key, F.greatest(F.col("first") - margin, F.lit(0)).alias("a"), F.least(F.col("last") + margin, F.col("n") - 1).alias("b")).where(F.col("b") - F.col("a") + 1 >= shortest)
-    long = stats.join(ends.where(F.col("b") - F.col("a") + 1 > longest), key).where((F.col("frame") >= F.col("a")) & (F.col("frame") <= F.col("b")))
-    w = Window.partitionBy(key).orderBy("frame").rowsBetween(0, longest - 1)
-    best = long.select(key, "frame", F.sum("energy").over(w).alias("t"), F.count("*").over(w).alias("k")).where(F.col("k") == longest)
-    best = best.groupBy(key).agg(F.min(F.struct((-F.col("t")).alias("t"), "frame")).alias("x")).select(key, F.col("x.frame").alias("at"))
-    out = ends.join(best, key, "left")
-    a = F.coalesce("at", "a")
-    b = F.when(F.col("at").isNotNull(), F.col("at") + longest - 1).otherwise(F.col("b"))
-    return out.select(key, (a * frame).cast("long").alias("start"), ((b + 1) * frame).cast("long").alias("stop"))
+
+    def work(f, e, c, known):
+        found = limits(f, e, c, known, quiet)
+        if not found or found[0] < quiet + shortest:
+            return None
+        ends = outer(f, e, *found[1:3])
+        if not ends or ends[1] <= ends[0]:
+            return None
+        first, last = moved(f, e, c, *ends, *found[3:], LOOK, HITS)
+        a, b = max(first - margin, 0), min(last + margin, found[0] - 1)
+        if b - a + 1 < shortest:
+            return None
+        inside = (f >= a) & (f <= b)
+        if b - a + 1 > longest and inside.sum() >= longest:
+            sums = np.cumsum(np.concatenate([[0], e[inside]]))
+            a = int(f[inside][np.argmax(sums[longest:] - sums[:-longest])])  # the first of equals
+            b = a + longest - 1
+        return a * frame, (b + 1) * frame
+
+    return per_capture(stats, key, work, "start stop")
 
 
 def noise_floor(units: DataFrame, key: str, first: int = 15, shift: int = 5, low: int = 10_240, high: int = 640_000) -> DataFrame:

@@ -55,8 +55,7 @@ def vad_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("energy_onset", f"WITH {SAMPLES}, {FRAMES}, {LIMITS}, {ONSETS} SELECT user_id, \"first\", \"last\" FROM o")
 def energy_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats(spark, sf_dir)
-    return ep.onsets(s, ep.thresholds(s, "user_id", QUIET), "user_id")
+    return ep.onsets(stats(spark, sf_dir), "user_id", QUIET)
 
 
 BACKOFF = """n AS (SELECT f.user_id, frame FROM f JOIN l USING (user_id) WHERE crossings > {cross} AND energy > egate),
@@ -68,9 +67,7 @@ e AS (SELECT o.user_id, CASE WHEN count(n.frame) FILTER (WHERE n.frame < o."firs
 @query("zcr_backoff", f"WITH {SAMPLES}, {FRAMES}, {LIMITS}, {ONSETS}, {BACKOFF.format(cross=1, look=5, hits=1, onsets='o')} SELECT user_id, \"first\", \"last\" FROM e")
 def zcr_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a crossing threshold of 1, since frames are short."""
-    s = stats(spark, sf_dir)
-    limits = ep.thresholds(s, "user_id", QUIET)
-    return ep.backoff(s, limits.withColumn("izct", F.lit(1)), ep.onsets(s, limits, "user_id"), "user_id", 5, 1)
+    return ep.backoff(stats(spark, sf_dir), "user_id", QUIET, 1, 5, 1)
 
 
 @query(
